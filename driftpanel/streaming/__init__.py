@@ -1,0 +1 @@
+"""Intentionally empty: the reproduced analysis is batch only and has no streaming surface."""
