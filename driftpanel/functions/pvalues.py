@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -48,7 +49,7 @@ def correlation_p_value(rho: float | None, n: float | None) -> float | None:
     return incomplete_beta(df / 2.0, 0.5, 1.0 - rho * rho)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p_value(r, k) for r, k in zip(rho, n)], dtype="float64")
 
