@@ -63,7 +63,9 @@ def residualise(df: DataFrame, targets: Sequence[str], numeric: Sequence[str], f
     if names:
         # centre and scale, so that the normal equations stay well conditioned
         stats = table.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in names]).first()
-        table = table.withColumns({c: (F.col(c) - stats[c].m) / (stats[c].s or 1.0) for c in names})
+        # a constant column has no spread beyond rounding; it repeats the intercept and is dropped
+        names = [c for c in names if stats[c].s > 1e-10 * abs(stats[c].m)]
+        table = table.withColumns({c: (F.col(c) - stats[c].m) / stats[c].s for c in names})
     columns = [F.lit(1.0), *[F.col(c) for c in names]]
     p = len(columns)
     products = _cross_products(table, [*columns, *[F.col(t) for t in targets]])
@@ -74,16 +76,19 @@ def residualise(df: DataFrame, targets: Sequence[str], numeric: Sequence[str], f
         for i, c in enumerate(names, start=1):
             fitted = fitted + F.lit(float(weights[i, j])) * F.col(c)
         residuals[t] = F.col(t) - fitted
-    return table.withColumns(residuals).drop(*names)
+    return table.withColumns(residuals).drop(*design)
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, numeric: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
     """One row ``n, rho``: rank both sides, remove the covariates, correlate the ranks of the residuals."""
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y, *numeric, *factors)
-    ranked = average_ranks(average_ranks(known, x, "_rx"), y, "_ry").drop(x, y)
-    ranked = cut_lineage(ranked)
+    known = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y, *numeric, *factors))
+    half = cut_lineage(average_ranks(known, x, "_rx").drop(x))
+    ranked = cut_lineage(average_ranks(half, y, "_ry").drop(y))
     try:
-        result = spearman(residualise(ranked, ["_rx", "_ry"], numeric, factors), "_rx", "_ry").first()
+        residuals = cut_lineage(residualise(ranked, ["_rx", "_ry"], numeric, factors).select("_rx", "_ry"))
+        result = spearman(residuals, "_rx", "_ry").first()
+        residuals.unpersist()
     finally:
-        ranked.unpersist()
+        for table in (known, half, ranked):
+            table.unpersist()
     return df.sparkSession.createDataFrame([(result.n, result.rho)], "n long, rho double")
