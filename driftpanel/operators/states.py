@@ -71,7 +71,8 @@ def occupancy(scored: DataFrame, n_states: int) -> DataFrame:
 
 def occupancy_text(occupied: DataFrame, state: int, t: int) -> DataFrame:
     """``"a0 12%, a1 30%"`` for one state in one period; an occupancy table has one row per arm."""
-    part = F.format_string("%s %.0f%%", F.col("arm"), 100 * F.col(f"fraction_state_{state}"))
+    percent = F.bround(100 * F.col(f"fraction_state_{state}")).cast("int")
+    part = F.format_string("%s %d%%", F.col("arm"), percent)
     return occupied.where(F.col("t") == t).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("arm", part.alias("text")))), lambda s: s["text"]), ", ").alias(
             "occupancy"

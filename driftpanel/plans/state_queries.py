@@ -489,7 +489,7 @@ def ag13(ctx):
 
 
 @query("ag14_occupancy_text", ["test_scored"],
-       "SELECT string_agg(arm || ' ' || CAST(share AS VARCHAR) || '%', ', ' ORDER BY arm) AS occupancy FROM (SELECT arm, CAST(round(100 * avg((state = 0)::INTEGER), 0) AS INTEGER) AS share FROM test_scored WHERE t = 6 GROUP BY arm)")
+       "SELECT string_agg(arm || ' ' || CAST(share AS VARCHAR) || '%', ', ' ORDER BY arm) AS occupancy FROM (SELECT arm, CAST(round_even(100 * avg((state = 0)::INTEGER), 0) AS INTEGER) AS share FROM test_scored WHERE t = 6 GROUP BY arm)")
 def ag14(ctx):
     return st.occupancy_text(st.occupancy(ctx.scored, _K), 0, ctx.spec.t_target)
 
