@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(session: SparkSession) -> str | None:
+    """The cluster's ``spark.checkpoint.dir``; a local session without it gets a folder of its own."""
+    context = session.sparkContext
+    known = context.getCheckpointDir() or session.conf.get("spark.checkpoint.dir", None)
+    if known is None and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="driftpanel-"))
+        known = context.getCheckpointDir()
+    return known
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's ``spark.checkpoint.dir``, then cached for repeated passes.
+    """Write ``df`` once to the shared folder and read it back as a table.
 
-    Only a local session without the setting gets a folder of its own. A cluster without one
-    keeps the lineage and relies on the cache.
+    Later readers prune columns and know the size of the table, and nothing upstream is ever
+    replayed. A cluster without a shared folder keeps the lineage and relies on the cache.
     """
-    session = df.sparkSession
-    context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = session.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="driftpanel-"))
-        else:
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df.checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder}/driftpanel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

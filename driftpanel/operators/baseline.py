@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from driftpanel.functions.hashing import order_key
@@ -155,6 +156,7 @@ def fit_baseline(
     """Cross-validated fit over ``subject_id, x, y`` of the train subjects with a known target."""
     parallelism = landmarks.sparkSession.sparkContext.defaultParallelism
     table = cut_lineage(target_folds(landmarks.select("subject_id", "x", "y"), folds, seed).repartition(parallelism, "subject_id"))
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         first = table.select(F.size("x")).first()
         if first is None:

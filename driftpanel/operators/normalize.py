@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from driftpanel.functions.columns import clip
+from driftpanel.functions.lineage import cut_lineage
 from driftpanel.functions.ranks import exact_percentiles, with_constants
 from driftpanel.spec import PanelSpec
 
@@ -161,7 +162,12 @@ def add_abnormality(behavior: DataFrame) -> DataFrame:
 
 
 def normalize_behavior(sessions: DataFrame, event_log: DataFrame) -> DataFrame:
-    return add_abnormality(add_rates(materialize_silent_sessions(sessions, event_log)))
+    """One row per recorded session.
+
+    The session table is written before its quantiles are taken, so the event log, which is far
+    larger, is not aggregated a second time.
+    """
+    return add_abnormality(cut_lineage(add_rates(materialize_silent_sessions(sessions, event_log))))
 
 
 def cohort_manifest(outcomes: DataFrame) -> DataFrame:

@@ -63,14 +63,10 @@ def primary_test(
     """Spearman rho of arm against mean state, bootstrap interval, and permutation null; one row."""
     n = len(spec.arms)
     profile = cut_lineage(arm_profile(with_arm(index, outcomes), spec))
-    try:
-        observed = rank_moments(profile, n).select(size_from_moments(n).alias("n"), rho_from_moments(n).alias("rho"))
-        interval = percentile_interval(rho_draws(profile, spec, "bootstrap", seed, bootstrap), "rho")
-        null = null_summary(rho_draws(profile, spec, "permutation", seed + 1, permutations), observed)
-        row = observed.crossJoin(F.broadcast(interval)).crossJoin(F.broadcast(null))
-        return index.sparkSession.createDataFrame(row.collect(), row.schema)
-    finally:
-        profile.unpersist()
+    observed = rank_moments(profile, n).select(size_from_moments(n).alias("n"), rho_from_moments(n).alias("rho"))
+    interval = percentile_interval(rho_draws(profile, spec, "bootstrap", seed, bootstrap), "rho")
+    null = null_summary(rho_draws(profile, spec, "permutation", seed + 1, permutations), observed)
+    return observed.crossJoin(F.broadcast(interval)).crossJoin(F.broadcast(null))
 
 
 def leave_one_arm_out(index: DataFrame, outcomes: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -44,8 +44,8 @@ class Analysis:
 
 
 def normalize_study(sessions: DataFrame, outcomes: DataFrame, event_log: DataFrame, spec: PanelSpec):
-    """Raw tables to normalised sessions, outcomes, and behaviour."""
-    clean = normalize_sessions(sessions, spec)
+    """Raw tables to normalised sessions, outcomes, and behaviour; sessions are written once for both."""
+    clean = cut_lineage(normalize_sessions(sessions, spec))
     return clean, normalize_outcomes(clean, outcomes, event_log, spec), normalize_behavior(clean, event_log)
 
 

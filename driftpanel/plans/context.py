@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from driftpanel.functions.lineage import cut_lineage
 from driftpanel.operators import behavior as behave
 from driftpanel.operators.hmm import HmmModel
+from driftpanel.operators.normalize import normalize_behavior, normalize_outcomes, normalize_sessions
 from driftpanel.operators.sequences import contiguous_prefix, fit_scaler, qc_sessions, restrict
 from driftpanel.operators.split import assign_folds, split_subjects
 from driftpanel.operators.states import forecast, model_sequences, score_sessions, severity_order, state_index
-from driftpanel.plans.analysis import normalize_study
 from driftpanel.sources.adapters import EVENT_SPEC, ORDER_SPEC, RawStudy, event_study, order_study
 
 # Fixed three-state and two-state parameter sets for checks of the inference operators.
@@ -47,21 +47,26 @@ class Context:
         return self._build(self.spark, self.sf_dir, self.spec)
 
     @cached_property
-    def lazy(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Normalised sessions, outcomes, behaviour as one unexecuted plan each."""
-        return normalize_study(self.raw.sessions, self.raw.outcomes, self.raw.event_log, self.spec)
+    def lazy_sessions(self) -> DataFrame:
+        """Normalised sessions as one unexecuted plan over the raw table."""
+        return normalize_sessions(self.raw.sessions, self.spec)
+
+    @cached_property
+    def lazy_outcomes(self) -> DataFrame:
+        """Normalised outcomes as one unexecuted plan over the raw tables."""
+        return normalize_outcomes(self.lazy_sessions, self.raw.outcomes, self.raw.event_log, self.spec)
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return cut_lineage(self.lazy[0])
+        return cut_lineage(self.lazy_sessions)
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return cut_lineage(self.lazy[1])
+        return cut_lineage(normalize_outcomes(self.sessions, self.raw.outcomes, self.raw.event_log, self.spec))
 
     @cached_property
     def behavior(self) -> DataFrame:
-        return cut_lineage(self.lazy[2])
+        return cut_lineage(normalize_behavior(self.sessions, self.raw.event_log))
 
     @cached_property
     def usable(self) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from driftpanel.functions.columns import alarm, arm_rank, hour_of_day, r6, state_label, stratum
+from driftpanel.functions.lineage import shared_folder
 from driftpanel.functions.ranks import with_constants
 from driftpanel.operators import normalize as norm
 from driftpanel.operators import quality, stats
@@ -34,13 +34,8 @@ def _n():
 
 
 def _scratch(ctx) -> str:
-    """A fresh folder for a written table: beside the cluster's checkpoints, or local in a local session."""
-    shared = ctx.spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-
-
-        return f"{shared}/driftpanel-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="driftpanel-")
+    """A fresh folder for a written table, beside the study's other intermediate tables."""
+    return f"{shared_folder(ctx.spark)}/driftpanel-{uuid.uuid4().hex}"
 
 
 # --- scans and sinks -------------------------------------------------------------------
@@ -65,7 +60,9 @@ def io1(ctx):
 @query("io2_normalised_sessions", ["sessions"],
        f"SELECT subject_id, t, arm, qc_pass, {_SQL_LOG} FROM sessions ORDER BY subject_id, t")
 def io2(ctx):
-    sessions, _, _ = in_fixed_order(*ctx.lazy)
+    folder = _scratch(ctx)
+    write_study(ctx.sessions, ctx.outcomes, ctx.behavior, folder, ctx.spec)
+    sessions, _, _ = in_fixed_order(*read_study(ctx.spark, folder, ctx.spec))
     return sessions.select("subject_id", "t", "arm", "qc_pass", *_log_features())
 
 
@@ -137,17 +134,17 @@ def pf1(ctx):
 
 @query("pf2_qc_rule", ["sessions"], f"SELECT subject_id, t, {sql6('shift')} AS shift, shift <= 50 AND noise < 0.2 AS expected_pass FROM sessions")
 def pf2(ctx):
-    return ctx.lazy[0].select("subject_id", "t", r6("shift").alias("shift"), ((F.col("shift") <= 50.0) & (F.col("noise") < 0.2)).alias("expected_pass"))
+    return ctx.lazy_sessions.select("subject_id", "t", r6("shift").alias("shift"), ((F.col("shift") <= 50.0) & (F.col("noise") < 0.2)).alias("expected_pass"))
 
 
 @query("pf3_usable_sessions", ["usable"], f"SELECT subject_id, t, {_SQL_LOG} FROM usable")
 def pf3(ctx):
-    return qc_sessions(ctx.lazy[0]).select("subject_id", "t", *_log_features())
+    return qc_sessions(ctx.lazy_sessions).select("subject_id", "t", *_log_features())
 
 
 @query("pf4_cutoff", ["usable"], "SELECT arm, t, count(*) AS n FROM usable WHERE t <= 5 GROUP BY arm, t")
 def pf4(ctx):
-    return qc_sessions(ctx.lazy[0]).where(F.col("t") <= ctx.spec.t_cutoff).groupBy("arm", "t").agg(_n().alias("n"))
+    return qc_sessions(ctx.lazy_sessions).where(F.col("t") <= ctx.spec.t_cutoff).groupBy("arm", "t").agg(_n().alias("n"))
 
 
 @query("pf5_qualifying_events", ["log"], "SELECT subject_id, count(*) AS n FROM log WHERE qualifies AND t = 6 GROUP BY subject_id")
@@ -218,7 +215,7 @@ def pf15(ctx):
 
 @query("pf16_hour_of_day", ["sessions"], f"SELECT subject_id, t, {sql6('hour(started_at) + minute(started_at) / 60.0::DOUBLE')} AS hour FROM sessions")
 def pf16(ctx):
-    return ctx.lazy[0].select("subject_id", "t", r6(hour_of_day()).alias("hour"))
+    return ctx.lazy_sessions.select("subject_id", "t", r6(hour_of_day()).alias("hour"))
 
 
 @query("pf17_state_label", ["test_scored"],
@@ -429,7 +426,7 @@ def jn13(ctx):
 
 @query("ag1_subject_metadata", ["metadata"], f"SELECT subject_id, arm, batch, clutch, plate, n_drops, {sql6('pressure')} AS pressure, dose, last_t, n_sessions FROM metadata")
 def ag1(ctx):
-    return norm.subject_metadata(ctx.lazy[0]).withColumn("pressure", r6("pressure"))
+    return norm.subject_metadata(ctx.lazy_sessions).withColumn("pressure", r6("pressure"))
 
 
 _LOGGED_DOUBLES = ("session_minutes", "event_seconds", "mean_speed", "max_speed", "mean_bend", "max_bend", "mean_likelihood")
@@ -462,12 +459,12 @@ def ag5(ctx):
        "SELECT arm, count(*) AS n_subjects, count(*) FILTER (WHERE target = 1) AS n_positive, count(*) FILTER (WHERE target = 0) AS n_negative, "
        "count(*) FILTER (WHERE target IS NULL) AS n_unresolved FROM outcomes GROUP BY GROUPING SETS ((), (arm))")
 def ag6(ctx):
-    return norm.cohort_manifest(ctx.lazy[1])
+    return norm.cohort_manifest(ctx.lazy_outcomes)
 
 
 @query("ag7_survival", ["outcomes"], f"SELECT arm, {sql6('avg(CAST(survived AS INTEGER))')} AS survival_rate FROM outcomes GROUP BY arm")
 def ag7(ctx):
-    return survival_by_arm(ctx.lazy[1]).select("arm", r6("survival_rate").alias("survival_rate"))
+    return survival_by_arm(ctx.lazy_outcomes).select("arm", r6("survival_rate").alias("survival_rate"))
 
 
 @query("ag8_dataset_summary", ["sessions", "outcomes", "prefix"],
@@ -479,7 +476,7 @@ def ag8(ctx):
 
 @query("ag9_endpoint", ["endpoint"], "SELECT subject_id, target FROM endpoint")
 def ag9(ctx):
-    return norm.endpoint(ctx.lazy[0], ctx.raw.event_log, ctx.spec)
+    return norm.endpoint(ctx.lazy_sessions, ctx.raw.event_log, ctx.spec)
 
 
 @query("ag10_robust_scaler", ["scaler"], "SELECT " + ", ".join(f"{sql6(f'c{d}')} AS center_{f}, {sql6(f's{d}')} AS scale_{f}" for d, f in enumerate(FEATURES)) + " FROM scaler")
