@@ -5,6 +5,11 @@ into buckets by an approximate-quantile sketch, bucket totals are accumulated (a
 ``buckets`` rows per group), and only the rows inside one bucket are sorted together. The
 sketch decides how even the buckets are, never the result. Ties are aggregated before the
 sort, so one very common value is one row.
+
+Group columns here are features, arms, folds, or model candidates: their number is set by the
+study, not by the data. The per-group tables (sketches, bucket offsets, wanted positions) are
+therefore broadcast, which also keeps a large table from being shuffled by a key with a
+handful of values.
 """
 
 from __future__ import annotations
@@ -13,8 +18,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from driftpanel.functions.hashing import key_bucket
+from driftpanel.functions.lineage import cut_lineage
+
 BUCKETS = 128
 HOT_SHARE = 256
+ONE_TASK_ROWS = 200_000  # tables up to this counted size are sorted in one task per group
 
 
 def _sketch(value: str, buckets: int) -> Column:
@@ -46,7 +55,7 @@ def with_buckets(
     ``buckets`` is a power of two.
     """
     splits = df.groupBy(*group).agg(_sketch(value, buckets).alias("_splits"))
-    joined = df.join(splits, list(group)) if group else with_constants(df, splits)
+    joined = df.join(F.broadcast(splits), list(group)) if group else with_constants(df, splits)
     return _locate(joined, value, buckets, name)
 
 
@@ -60,24 +69,27 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums ``cum_<measure>`` over distinct ``value`` rows of each group.
 
-    ``table`` holds one row per (group, value).
+    ``table`` holds one row per (group, value). It is read several times, so it is written once;
+    its counted size decides whether buckets are needed.
     """
+    def direction(c: str) -> Column:
+        return F.col(c).desc() if descending else F.col(c).asc()
+
+    table = cut_lineage(table)
+    if table.count() <= ONE_TASK_ROWS:
+        whole = Window.partitionBy(*group).orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, 0)
+        return table.withColumns({f"cum_{m}": F.sum(m).over(whole) for m in measures})
     keyed = with_buckets(table, value, group, buckets)
     keys = [*group, "_bucket"]
     totals = keyed.groupBy(*keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
 
-    def direction(c: str) -> Column:
-        return F.col(c).desc() if descending else F.col(c).asc()
-
     before = (
         Window.partitionBy(*group).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures])
-    if not group:
-        offsets = F.broadcast(offsets)  # at most `buckets` rows
     inside = Window.partitionBy(*keys).orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        keyed.join(offsets, keys)
+        keyed.join(F.broadcast(offsets), keys)
         .withColumns({f"cum_{m}": F.sum(m).over(inside) + F.col(f"_o_{m}") for m in measures})
         .drop("_bucket", *[f"_o_{m}" for m in measures])
     )
@@ -93,25 +105,24 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, weight: str, columns: S
     """Inner join of rows to a unique-key lookup that stays even when one key holds most rows.
 
     ``lookup[weight]`` is the number of rows carrying the key. Keys above 1/256 of all rows
-    number fewer than 256, so they are broadcast; the rest goes through a shuffle join, where
-    already matched rows are spread over salts that find no partner.
+    number fewer than 256, so they are broadcast; the rest goes through a shuffle join on the
+    key and a slot. Rows that already matched get a slot of their own, which spreads them over
+    all partitions without a partner. Both inputs are read more than once.
     """
     weighed = with_constants(lookup, lookup.agg(F.sum(weight).alias("_rows")))
     is_hot = F.col(weight) * HOT_SHARE > F.col("_rows")
     hot = weighed.where(is_hot).select(key, *[F.col(c).alias(f"_hot_{c}") for c in columns], F.lit(True).alias("_hot"))
-    cold = weighed.where(~is_hot).select(key, F.lit(0).alias("_salt"), *columns)
-    spread = F.when(
-        F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(4096)).cast("int")
-    ).otherwise(F.lit(0))
-    joined = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", spread).join(cold, [key, "_salt"], "left")
+    cold = weighed.where(~is_hot).select(key, F.xxhash64(key).alias("_slot"), *columns)
+    slot = F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.xxhash64(key))
+    joined = rows.join(F.broadcast(hot), key, "left").withColumn("_slot", slot).join(cold, [key, "_slot"], "left")
     picked = [F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in columns]
     return joined.select(*rows.columns, *picked)
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average rank (ties share the mean) of every row of ``df`` by ``value``."""
+    """Average rank (ties share the mean) of every row of ``df`` by ``value``; ``df`` is read twice."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    ranks = mid_ranks(counts, value, name=name)
+    ranks = cut_lineage(mid_ranks(counts, value, name=name))
     return attach(df, ranks, value, "n", [name])
 
 
@@ -120,9 +131,9 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact, linearly interpolated percentiles: one row per (group, feature, p) with ``value``.
 
-    Values are first reduced to counts (one shuffle, shared by the later steps); bucket totals
-    then locate the wanted positions, and only the buckets holding one are sorted. NULL values
-    are ignored.
+    Values are first reduced to counts, which are written once. A small table of counts is
+    ranked as it is; for a large one, bucket totals locate the wanted positions, and only the
+    buckets holding one are sorted. NULL values are ignored.
     """
     keys = [*group, "feature"]
     entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_v")) for c in columns]
@@ -132,6 +143,11 @@ def exact_percentiles(
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    counted = cut_lineage(counted)
+    if counted.count() <= ONE_TASK_ROWS:
+        ends = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_n"))
+        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probabilities]).alias("p"), F.col("_ends").alias("value"))
+        return counted.groupBy(*keys).agg(ends.alias("_ends")).select(*keys, F.inline(pairs))
     located = with_buckets(counted, "_v", keys, buckets)
     totals = located.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_n"))
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
@@ -151,7 +167,7 @@ def exact_percentiles(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        located.join(targets, [*keys, "_bucket"])
+        located.join(F.broadcast(targets), [*keys, "_bucket"])
         .withColumn("_end", F.sum("_n").over(inside))
         .select(*keys, "_v", "_n", "_end", F.inline("_wanted"))
         .where((F.col("_skip") < F.col("_end")) & (F.col("_skip") >= F.col("_end") - F.col("_n")))
@@ -166,8 +182,6 @@ def rank_by_key(df: DataFrame, group: Sequence[str], key: str, tie: str, name: s
 
     A group may hold a large share of all rows, so it is sorted in 4096 key buckets.
     """
-    from driftpanel.functions.hashing import key_bucket
-
     g = list(group)
     keyed = df.withColumn("_bucket", key_bucket(F.col(key)))
     counts = keyed.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftpanel.functions.lineage import cut_lineage
-from driftpanel.functions.ranks import average_ranks
+from driftpanel.functions.ranks import attach, average_ranks
 from driftpanel.operators.stats import spearman
 
 WIDE_FACTOR = 64  # factors with more levels are removed by level means instead of indicator columns
@@ -40,8 +40,9 @@ def _cross_products(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
 
 
 def _demean(df: DataFrame, factor: str, columns: Sequence[str]) -> DataFrame:
-    means = df.groupBy(factor).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    joined = df.join(means, factor)
+    """Subtract level means; a level may hold most rows, so the means come by the skew-safe lookup."""
+    means = df.groupBy(factor).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in columns])
+    joined = attach(df, means, factor, "_n", [f"_m_{c}" for c in columns])
     return joined.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
@@ -81,7 +82,8 @@ def residualise(df: DataFrame, targets: Sequence[str], numeric: Sequence[str], f
 
 def partial_spearman(df: DataFrame, x: str, y: str, numeric: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
     """One row ``n, rho``: rank both sides, remove the covariates, correlate the ranks of the residuals."""
-    known = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y, *numeric, *factors))
+    kept = [c for c in dict.fromkeys(["subject_id", x, y, *numeric, *factors]) if c in df.columns]
+    known = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*kept))
     half = cut_lineage(average_ranks(known, x, "_rx").drop(x))
     ranked = cut_lineage(average_ranks(half, y, "_ry").drop(y))
     residuals = cut_lineage(residualise(ranked, ["_rx", "_ry"], numeric, factors).select("_rx", "_ry"))

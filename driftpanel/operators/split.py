@@ -1,4 +1,8 @@
-"""Leakage-free subject split and stratified folds, ordered by seeded hash keys."""
+"""Leakage-free subject split and stratified folds, ordered by seeded hash keys.
+
+Quota tables hold one row per arm or per arm and target class of the study; they are broadcast,
+so that subjects are never shuffled by an arm that may hold most of them.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +29,7 @@ def stratified_pick(outcomes: DataFrame, test_fraction: float, seed: int) -> Dat
     ).otherwise(F.lit(0))
     ranked = rank_by_key(base, ["stratum"], "_key", "subject_id", "_place")
     return (
-        ranked.join(sizes.select("stratum", quota.alias("_quota")), "stratum")
+        ranked.join(F.broadcast(sizes.select("stratum", quota.alias("_quota"))), "stratum")
         .withColumn("is_test", F.col("_place") <= F.col("_quota"))
         .select("subject_id", "arm", "target", "stratum", "is_test")
     )
@@ -40,7 +44,7 @@ def rebalance_arms(picked: DataFrame, test_fraction: float, seed: int) -> DataFr
     moves = (F.col("_place") <= F.abs("_gap")) & (
         ((F.col("_gap") > 0) & ~F.col("is_test")) | ((F.col("_gap") < 0) & F.col("is_test"))
     )
-    return ranked.join(gap, "arm").withColumn("is_test", F.col("is_test") != moves).drop("_key", "_place", "_gap")
+    return ranked.join(F.broadcast(gap), "arm").withColumn("is_test", F.col("is_test") != moves).drop("_key", "_place", "_gap")
 
 
 def split_subjects(outcomes: DataFrame, test_fraction: float = 0.30, seed: int = 42) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftpanel.functions.columns import alarm
+from driftpanel.functions.lineage import cut_lineage
 from driftpanel.functions.pvalues import p_value
 from driftpanel.functions.ranks import attach, mid_ranks, running_totals
 
@@ -83,9 +84,10 @@ def spearman_ordinal(df: DataFrame, value: str, cls: Column | str, levels: Seque
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row ``n, rho`` of two numeric columns; pairs with a NULL are left out.
 
-    Equal pairs are counted first, and common values are attached by the skew-safe lookup.
+    Equal pairs are counted first, and common values are attached by the skew-safe lookup. Pairs
+    and ranks are read several times, so each is written once.
     """
-    pairs = (
+    pairs = cut_lineage(
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -93,7 +95,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     ranked = pairs
     for side in ("x", "y"):
         margin = pairs.groupBy(side).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("_cells"))
-        ranks = mid_ranks(margin, side, name=f"r{side}")
+        ranks = cut_lineage(mid_ranks(margin, side, name=f"r{side}"))
         ranked = attach(ranked, ranks, side, "_cells", [f"r{side}"])
     n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
     sums = ranked.agg(

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Window, functions as F
 
 from driftpanel.functions.columns import arm_rank, clip, expected_index, hour_of_day, permute, propagate, r6, stratum
+from driftpanel.functions.lineage import cut_lineage
 from driftpanel.functions.ranks import average_ranks, exact_percentiles, with_constants
 from driftpanel.operators import hmm, stats
 from driftpanel.operators import states as st
@@ -64,7 +65,8 @@ def wn3(ctx):
     joined = ctx.index.join(ctx.outcomes.select("subject_id", "arm"), "subject_id").select(
         "subject_id", F.round("mean_state_index", 9).alias("y"), arm_rank(ctx.spec).alias("x")
     )
-    return average_ranks(average_ranks(joined, "y", "rank_index"), "x", "rank_arm").select("subject_id", "rank_index", "rank_arm")
+    half = cut_lineage(average_ranks(cut_lineage(joined), "y", "rank_index"))
+    return average_ranks(half, "x", "rank_arm").select("subject_id", "rank_index", "rank_arm")
 
 
 @query("wn4_position", ["test_scored"], "SELECT subject_id, t, pos AS position FROM test_scored")

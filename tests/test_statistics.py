@@ -26,7 +26,14 @@ def skewed_values(n=3000, seed=1):
     return x
 
 
-def test_percentiles_are_exact_on_skewed_values(spark):
+@pytest.fixture(params=["one task", "buckets"])
+def path(request, monkeypatch):
+    """Run with the small-table path and with the bucket path."""
+    if request.param == "buckets":
+        monkeypatch.setattr(ranks, "ONE_TASK_ROWS", 0)
+
+
+def test_percentiles_are_exact_on_skewed_values(spark, path):
     a, b = skewed_values(seed=1), np.random.default_rng(2).integers(0, 3, 3000).astype(float)
     df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "g": np.arange(3000) % 2})).repartition(5)
     p = [0.0, 0.1, 0.25, 0.5, 0.9, 0.975, 1.0]
@@ -39,7 +46,8 @@ def test_percentiles_are_exact_on_skewed_values(spark):
 
 
 @pytest.mark.parametrize("buckets", [2, 16, 128])
-def test_ranks_do_not_depend_on_buckets(spark, buckets):
+def test_ranks_do_not_depend_on_buckets(spark, buckets, monkeypatch):
+    monkeypatch.setattr(ranks, "ONE_TASK_ROWS", 0)
     x = skewed_values()
     table = spark.createDataFrame(pd.DataFrame({"x": x})).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     got = {r.x: r.r for r in ranks.mid_ranks(ranks.running_totals(table, "x", ["n"], buckets=buckets).drop("cum_n"), "x", name="r").collect()}
@@ -47,14 +55,23 @@ def test_ranks_do_not_depend_on_buckets(spark, buckets):
     assert all(got[v] == r for v, r in zip(x, expected))
 
 
-def test_row_ranks_survive_a_hot_value(spark):
+def test_row_ranks_survive_a_hot_value(spark, path):
     x = skewed_values()
     df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(x)), "x": x}))
     got = ranks.average_ranks(df, "x", "r").toPandas().sort_values("i")
     assert len(got) == len(x) and np.allclose(got["r"], pd.Series(x).rank())
 
 
-def test_spearman_matches_numpy_with_ties_and_hot_values(spark):
+def test_hot_rows_are_spread_over_the_shuffle(spark):
+    x = skewed_values()
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(x)), "x": x}))
+    plan = ranks.average_ranks(df, "x", "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert any("_slot" in line for line in joins)
+
+
+def test_spearman_matches_numpy_with_ties_and_hot_values(spark, path):
     x, y = skewed_values(seed=3), skewed_values(seed=4)[::-1].copy()
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
     row = stats.spearman(df, "x", "y").first()
@@ -81,7 +98,7 @@ def brute_ap(y, s):
     return out
 
 
-def test_roc_and_precision_match_brute_force(spark):
+def test_roc_and_precision_match_brute_force(spark, path):
     y, s = binary()
     df = spark.createDataFrame(pd.DataFrame({"risk": s, "target": y}))
     assert stats.roc_auc(df, "risk", "target").first().roc_auc == pytest.approx(brute_auc(y, s))
@@ -166,7 +183,7 @@ def test_order_test_finds_nothing_in_noise(spark):
     assert abs(row.rho) < 0.25 and row.one_sided_p > 0.05
 
 
-def test_leaving_out_an_arm_leaves_the_other_subjects(spark):
+def test_leaving_out_an_arm_leaves_the_other_subjects(spark, path):
     index, outcomes = cohort(spark, lambda a: a, 10)
     rows = ordering.leave_one_arm_out(index, outcomes, SPEC).collect()
     assert {r.held_out: r.n for r in rows} == {a: 30 for a in SPEC.arms}
