@@ -10,7 +10,7 @@ from driftpanel.operators.hmm import FitRequest, fit_many, prepare
 from driftpanel.operators.partial import partial_spearman
 from driftpanel.operators.resample import resample
 from driftpanel.operators.sequences import build_sequences, contiguous_prefix, fit_scaler, log_rows, restrict
-from driftpanel.operators.states import model_sequences, severity_order, state_index
+from driftpanel.operators.states import decode, model_sequences, severity_order, state_index
 from driftpanel.operators.stats import (
     auc_from_moments,
     class_profile,
@@ -133,7 +133,7 @@ def control_only_refit(
         table.unpersist()
     fixed = sessions.sparkSession.createDataFrame([s])
     sequences = model_sequences(restrict(sessions, outcomes), fixed, spec)
-    index = state_index(sequences, model, severity_order(model, spec.features))
+    index = state_index(decode(sequences, model, severity_order(model, spec.features)))
     result = primary_test(index, outcomes, spec, seed, bootstrap, permutations)
     size = controls.agg(F.count(F.lit(1)).alias("n_control_subjects"))
     return result.crossJoin(F.broadcast(size)).withColumn("converged", F.lit(model.converged))

@@ -113,7 +113,7 @@ def select_state_count(
     full = full.withColumn("n_parameters", parameter_count(F.col("n_states"), d)).withColumn(
         "bic", bic(F.col("loglik"), F.col("n_parameters"), F.col("n_sessions"))
     )
-    comparison = full.join(fold_summary(fold_table), "n_states")
+    comparison = full.join(fold_summary(fold_table), "n_states", "left")
     chosen = best_state_count(comparison).first().n_states
     s = scalers[-1]
     scaler = spark.createDataFrame([(s.center, s.scale)], "center array<double>, scale array<double>")

@@ -39,11 +39,15 @@ def model_sequences(sessions: DataFrame, scaler: DataFrame, spec: PanelSpec, cut
     return build_sequences(rows, spec, carry=("arm", "pressure", "dose"))
 
 
-def score_sessions(sequences: DataFrame, model: HmmModel, order) -> DataFrame:
+def decode(sequences: DataFrame, model: HmmModel, order) -> DataFrame:
+    """Severity-ordered path and causal posterior of each subject; scores, index, and forecast all read it."""
+    return infer(sequences, model, order=order)
+
+
+def score_sessions(decoded: DataFrame) -> DataFrame:
     """One row per session: severity state, posterior ``p_state``, expected state."""
-    inferred = infer(sequences, model, order=order)
     zipped = F.arrays_zip("ts", "arm", "pressure", "dose", "path", "posterior")
-    rows = inferred.select("subject_id", F.posexplode(zipped).alias("position", "_s"))
+    rows = decoded.select("subject_id", F.posexplode(zipped).alias("position", "_s"))
     return rows.select(
         "subject_id",
         F.col("_s.arm").alias("arm"),
@@ -112,11 +116,10 @@ def by_arm_and_period(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.orderBy(arm_rank(spec), "t")
 
 
-def state_index(sequences: DataFrame, model: HmmModel, order) -> DataFrame:
+def state_index(decoded: DataFrame) -> DataFrame:
     """Mean severity state and number of sessions of each subject."""
-    inferred = infer(sequences, model, order=order)
     total = F.aggregate("path", F.lit(0), lambda a, s: a + s)
-    return inferred.select(
+    return decoded.select(
         "subject_id", (total / F.size("path")).alias("mean_state_index"), F.size("path").alias("n_sessions")
     )
 
@@ -125,24 +128,24 @@ def matrix_literal(matrix: np.ndarray) -> Column:
     return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in matrix])
 
 
-def forecast(sequences: DataFrame, outcomes: DataFrame, model: HmmModel, order, spec: PanelSpec) -> DataFrame:
+def forecast(decoded: DataFrame, outcomes: DataFrame, model: HmmModel, order, spec: PanelSpec) -> DataFrame:
     """Causal forecast per subject with a known target.
 
-    ``sequences`` end at the cutoff. The filtered distribution at the last session is carried
-    to the target period by the ordered transition matrix; the risk is its most severe state.
+    The posterior is causal, so its entry at the last session up to the cutoff has seen nothing
+    later. It is carried to the target period by the ordered transition matrix; the risk is the
+    most severe state.
     """
     order = [int(o) for o in order]
     k = len(order)
     matrix = matrix_literal(model.trans[np.ix_(order, order)])
-    inferred = infer(sequences, model, order=order).select(
-        "subject_id",
-        F.element_at("arm", -1).alias("arm"),
-        F.element_at("ts", -1).alias("last_t"),
-        F.element_at("posterior", -1).alias("_p"),
+    # sequences have no gaps, so periods up to the cutoff are the first entries
+    last = F.least(F.size("ts"), F.lit(spec.t_cutoff - spec.t0 + 1)) - 1
+    seen = decoded.select(
+        "subject_id", F.get("arm", last).alias("arm"), F.get("ts", last).alias("last_t"), F.get("posterior", last).alias("_p")
     )
     known = outcomes.where(F.col("target").isNotNull()).select("subject_id", "target", "batch", "dose")
     steps = F.lit(spec.t_target) - F.col("last_t")
-    return inferred.join(known, "subject_id").select(
+    return seen.join(known, "subject_id").select(
         "subject_id",
         "arm",
         "last_t",

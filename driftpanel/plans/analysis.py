@@ -18,6 +18,7 @@ from driftpanel.operators.sequences import contiguous_prefix, landmark, qc_sessi
 from driftpanel.operators.split import assign_folds, split_subjects
 from driftpanel.operators.states import (
     by_arm_and_period,
+    decode,
     forecast,
     model_sequences,
     occupancy,
@@ -134,12 +135,12 @@ def run_analysis(
     model, k = chosen.model, chosen.n_states
     order = severity_order(model, spec.features)
 
-    scored = cut_lineage(score_sessions(model_sequences(restrict(usable, test), chosen.scaler, spec), model, order))
-    early = model_sequences(restrict(usable, test), chosen.scaler, spec, spec.t_cutoff)
-    forecasts = cut_lineage(forecast(early, restrict(outcomes, test), model, order, spec))
+    decoded = cut_lineage(decode(model_sequences(restrict(usable, outcomes), chosen.scaler, spec), model, order))
+    scored = cut_lineage(score_sessions(restrict(decoded, test)))
+    forecasts = cut_lineage(forecast(restrict(decoded, test), outcomes, model, order, spec))
     quality.require_clean(quality.forecast_violations(forecasts, spec))
 
-    index = cut_lineage(state_index(model_sequences(restrict(usable, outcomes), chosen.scaler, spec), model, order))
+    index = cut_lineage(state_index(decoded))
     occupied = occupancy(scored, k)
     transitions = transition_summary(scored, spec)
 

@@ -13,7 +13,7 @@ from driftpanel.operators.hmm import HmmModel
 from driftpanel.operators.normalize import normalize_behavior, normalize_outcomes, normalize_sessions
 from driftpanel.operators.sequences import contiguous_prefix, fit_scaler, qc_sessions, restrict
 from driftpanel.operators.split import assign_folds, split_subjects
-from driftpanel.operators.states import forecast, model_sequences, score_sessions, severity_order, state_index
+from driftpanel.operators.states import decode, forecast, model_sequences, score_sessions, severity_order, state_index
 from driftpanel.sources.adapters import EVENT_SPEC, ORDER_SPEC, RawStudy, event_study, order_study
 
 # Fixed three-state and two-state parameter sets for checks of the inference operators.
@@ -100,18 +100,21 @@ class Context:
     def sequences(self) -> DataFrame:
         return cut_lineage(model_sequences(self.usable, self.scaler, self.spec))
 
+    @cached_property
+    def decoded(self) -> DataFrame:
+        return cut_lineage(decode(self.sequences, self.model, self.order))
+
     @cached_property
     def scored(self) -> DataFrame:
-        return cut_lineage(score_sessions(restrict(self.sequences, self.test), self.model, self.order))
+        return cut_lineage(score_sessions(restrict(self.decoded, self.test)))
 
     @cached_property
     def forecasts(self) -> DataFrame:
-        early = model_sequences(restrict(self.usable, self.test), self.scaler, self.spec, self.spec.t_cutoff)
-        return cut_lineage(forecast(early, self.outcomes, self.model, self.order, self.spec))
+        return cut_lineage(forecast(restrict(self.decoded, self.test), self.outcomes, self.model, self.order, self.spec))
 
     @cached_property
     def index(self) -> DataFrame:
-        return cut_lineage(state_index(self.sequences, self.model, self.order))
+        return cut_lineage(state_index(self.decoded))
 
     @cached_property
     def merged_behavior(self) -> DataFrame:

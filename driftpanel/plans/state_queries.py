@@ -416,7 +416,7 @@ _SCORED = "subject_id, arm, t, state AS predicted_state, " + ", ".join([f"{sql6(
 
 @query("hm11_score_sessions", ["test_scored"], f"SELECT {_SCORED}, pressure, dose FROM test_scored")
 def hm11(ctx):
-    scored = st.score_sessions(restrict(ctx.sequences, ctx.test), ctx.model, ctx.order)
+    scored = st.score_sessions(st.decode(restrict(ctx.sequences, ctx.test), ctx.model, ctx.order))
     return scored.select(
         "subject_id", "arm", "t", F.col("state").alias("predicted_state"), r6("expected_state").alias("expected_state"),
         *[r6(c).alias(f"p_state_{k}") for k, c in enumerate(st.state_columns(_K))], "pressure", "dose",
@@ -434,14 +434,14 @@ def hm12(ctx):
 
 @query("hm13_forecast", ["forecasts"], f"SELECT subject_id, arm, last_t, steps, {sql6('current_risk')} AS current_risk, {sql6('risk')} AS risk, target, batch, dose FROM forecasts")
 def hm13(ctx):
-    early = st.model_sequences(restrict(ctx.usable, ctx.test), ctx.scaler, ctx.spec, ctx.spec.t_cutoff)
-    table = st.forecast(early, ctx.outcomes, ctx.model, ctx.order, ctx.spec)
+    decoded = st.decode(restrict(ctx.sequences, ctx.test), ctx.model, ctx.order)
+    table = st.forecast(decoded, ctx.outcomes, ctx.model, ctx.order, ctx.spec)
     return table.withColumns({c: r6(c) for c in ("current_risk", "risk")})
 
 
 @query("hm14_state_index", ["state_index"], f"SELECT subject_id, {sql6('mean_state_index')} AS mean_state_index, n_sessions FROM state_index")
 def hm14(ctx):
-    return st.state_index(ctx.sequences, ctx.model, ctx.order).withColumn("mean_state_index", r6("mean_state_index"))
+    return st.state_index(st.decode(ctx.sequences, ctx.model, ctx.order)).withColumn("mean_state_index", r6("mean_state_index"))
 
 
 @query("hm15_ordered_emission", ["state_means", "states"],
@@ -499,7 +499,7 @@ def ag14(ctx):
 @query("ag15_mean_state", ["decoded"], f"SELECT subject_id, {sql6('avg(severity)')} AS mean_state_index, count(*) AS n FROM decoded GROUP BY subject_id")
 def ag15(ctx):
     """The subject means computed from decoded session rows."""
-    rows = st.score_sessions(ctx.sequences, ctx.model, ctx.order)
+    rows = st.score_sessions(ctx.decoded)
     return rows.groupBy("subject_id").agg(r6(F.avg("state")).alias("mean_state_index"), _n().alias("n"))
 
 

@@ -111,3 +111,21 @@ def test_state_labels_need_a_known_name(spark):
         state_label(F.col("s"), 5)
     with pytest.raises(Exception, match="without a name"):
         df.select(state_label(F.col("s"), 2)).collect()
+
+
+def test_forecast_does_not_see_periods_after_the_cutoff(spark):
+    from driftpanel.operators.states import decode, forecast, model_sequences
+    from driftpanel.plans.context import FIXED_MODEL
+
+    sessions, outcomes, _ = make_study(spark, periods_of={"S0001": (4,), "S0002": (4, 5), "S0003": (4, 6)})
+    scaler = fit_scaler(contiguous_prefix(sessions, SPEC), SPEC)
+    order = severity_order(FIXED_MODEL, SPEC.features)
+
+    def risks(cutoff):
+        sequences = model_sequences(sessions, scaler, SPEC, cutoff)
+        table = forecast(decode(sequences, FIXED_MODEL, order), outcomes, FIXED_MODEL, order, SPEC)
+        return {r.subject_id: (r.last_t, r.steps, round(r.risk, 12)) for r in table.collect()}
+
+    whole, early = risks(None), risks(SPEC.t_cutoff)
+    assert whole == early
+    assert whole["S0001"][:2] == (4, 2) and whole["S0002"][:2] == (5, 1) and whole["S0003"][:2] == (4, 2)
