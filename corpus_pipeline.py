@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftpanel.llm import decontaminate, language, mixing, simhash, substrings
+from driftpanel.llm import decontaminate, language, mixing, simhash_wide, substrings
 from driftpanel.llm.tables import cut_lineage
 
 
@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (SimHash, five-word shingles, similarity of 0.8 or more) the smallest id stays."""
-    return simhash.first_of_each_group(docs, shingle=5)
+    return simhash_wide.first_of_each_group(docs, shingle=5, similarity=0.8)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
