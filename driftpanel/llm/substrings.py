@@ -11,7 +11,10 @@ WINDOW = 13
 #: Text bytes per bucket of the hash space; a bucket is what one task sorts.
 BUCKET_BYTES = 32 << 20
 #: Windows that a map task holds before it sends them.
-CHUNK_WINDOWS = 4_000_000
+CHUNK_WINDOWS = 2_000_000
+#: What travels between tasks: hashes of many documents to one slot, or the settled runs of one text.
+PACKED = "slot int, ids binary, counts binary, hashes binary, digest long, spans binary"
+PACKED_NAMES = ["slot", "ids", "counts", "hashes", "digest", "spans"]
 #: Two odd bases of the rolling polynomials, modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -45,6 +48,29 @@ def _as_bytes(x) -> bytes:
     return x.tobytes()
 
 
+def _packs(slot, ids, hashes):
+    """Rows of ``PACKED`` for entries sorted by (slot, id): one per slot, each id once with its number of hashes."""
+    import numpy as np
+
+    if len(slot) == 0:
+        return
+    edge = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    for a, b in zip(edge, np.r_[edge[1:], len(slot)], strict=True):
+        mine = ids[a:b]
+        first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        counts = np.diff(np.r_[first, len(mine)]).astype(np.int32)
+        yield int(slot[a]), _as_bytes(mine[first]), _as_bytes(counts), _as_bytes(hashes[a:b]), None, None
+
+
+def _batches(rows, size: int = 512):
+    import pyarrow as pa
+
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+    for at in range(0, len(rows), size):
+        columns = zip(*rows[at : at + size], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], PACKED_NAMES)
+
+
 def _ship(window: int, buckets: int, chunk_windows: int):
     """Map side: the distinct windows of a chunk go to their buckets, with the smallest id that has them here.
 
@@ -54,39 +80,31 @@ def _ship(window: int, buckets: int, chunk_windows: int):
 
     def flush(parts):
         import numpy as np
-        import pyarrow as pa
 
         parts.sort(key=lambda p: p[0])
         ids = np.array([p[0] for p in parts], np.int64)
+        digests = [p[1] for p in parts]
         sizes = np.array([len(p[2]) for p in parts], np.int64)
         offsets = np.r_[0, np.cumsum(sizes)]
         h = np.concatenate([p[2] for p in parts])
         slot = np.concatenate([p[3] for p in parts])
-        doc = np.repeat(np.arange(len(parts)), sizes)
+        parts.clear()
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         order = np.argsort(h, kind="stable")
         sorted_h = h[order]
         head = np.r_[True, sorted_h[1:] != sorted_h[:-1]]
         least = ids[doc[order[head]]][np.cumsum(head) - 1]
         late = np.zeros(len(h), bool)
         late[order] = ids[doc[order]] > least
-        rows = []
         sent = order[head]
+        del order, sorted_h, head, least
         sent = sent[np.lexsort((doc[sent], slot[sent]))]
-        edge = np.flatnonzero(np.r_[True, slot[sent][1:] != slot[sent][:-1]])
-        for a, b in zip(edge, np.r_[edge[1:], len(sent)], strict=True):
-            mine = doc[sent[a:b]]
-            first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-            counts = np.diff(np.r_[first, len(mine)]).astype(np.int32)
-            rows.append((int(slot[sent[a]]), _as_bytes(ids[mine[first]]), _as_bytes(counts), _as_bytes(h[sent[a:b]]), None, None))
+        rows = list(_packs(slot[sent], ids[doc[sent]], h[sent]))
         for d in np.unique(doc[late]):
             starts, ends = _runs(late[offsets[d] : offsets[d + 1]])
             spans = np.column_stack([starts, ends]).astype(np.int32)
-            rows.append((int(d % buckets), _as_bytes(ids[d : d + 1]), None, None, parts[d][1], _as_bytes(spans)))
-        for at in range(0, len(rows), 512):
-            cols = list(zip(*rows[at : at + 512], strict=True))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["bucket", "ids", "counts", "hashes", "digest", "spans"])
+            rows.append((int(d % buckets), _as_bytes(ids[d : d + 1]), None, None, digests[d], _as_bytes(spans)))
+        yield from _batches(rows)
 
     def run(batches):
         import numpy as np
@@ -105,48 +123,77 @@ def _ship(window: int, buckets: int, chunk_windows: int):
                 held += len(h)
                 if held >= chunk_windows:
                     yield from flush(parts)
-                    parts, held = [], 0
+                    held = 0
         if parts:
             yield from flush(parts)
 
     return run
 
 
-def _settle(batches):
-    """Reduce side: one bucket of the hash space; returns, per document, the hashes that a smaller id has too."""
+def _unpacked(batches, passed: list):
+    """Document ids and hashes of packed rows, flat; rows of settled runs are appended to ``passed``."""
     import numpy as np
-    import pyarrow as pa
 
-    names = ["doc_id", "digest", "spans", "hashes"]
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
     ids, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for batch in batches:
-        passed = []
-        for i, c, h, digest, spans in zip(*[batch.column(n).to_pylist() for n in ("ids", "counts", "hashes", "digest", "spans")], strict=True):
+        for i, c, h, digest, spans in zip(*[batch.column(n).to_pylist() for n in PACKED_NAMES[1:]], strict=True):
             if h is None:
-                passed.append((int(np.frombuffer(i, np.int64)[0]), digest, spans, None))
+                passed.append((int(np.frombuffer(i, np.int64)[0]), digest, spans))
             else:
                 ids.append(np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.int32)))
                 hashes.append(np.frombuffer(h, np.uint64))
-        if passed:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*passed, strict=True), kinds, strict=True)], names)
-    doc, h = np.concatenate(ids), np.concatenate(hashes)
-    ids = hashes = None
-    if len(h) == 0:
-        return
-    order = np.argsort(h)
-    h, doc = h[order], doc[order]
-    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    late = doc > np.repeat(np.minimum.reduceat(doc, head), np.diff(np.r_[head, len(h)]))
-    h, doc = h[late], doc[late]
-    if len(h) == 0:
-        return
+    return np.concatenate(ids), np.concatenate(hashes)
+
+
+def _slots(ids, slots: int):
+    import numpy as np
+
+    mixed = ids.astype(np.uint64) * np.uint64(BASES[0])
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(slots)).astype(np.int32)
+
+
+def _settle(slots: int):
+    """Reduce side: one bucket of the hash space; sends the hashes that a smaller id has too on to their documents' slots."""
+
+    def run(batches):
+        import numpy as np
+
+        passed: list = []
+        doc, h = _unpacked(batches, passed)
+        rows = [(int(_slots(np.array([i]), slots)[0]), np.int64(i).tobytes(), None, None, digest, spans) for i, digest, spans in passed]
+        if len(h):
+            order = np.argsort(h)
+            h, doc = h[order], doc[order]
+            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            late = doc > np.repeat(np.minimum.reduceat(doc, head), np.diff(np.r_[head, len(h)]))
+            h, doc = h[late], doc[late]
+            slot = _slots(doc, slots)
+            order = np.lexsort((doc, slot))
+            rows += _packs(slot[order], doc[order], h[order])
+        yield from _batches(rows)
+
+    return run
+
+
+def _gather(batches):
+    """One slot of documents: a row for each that has settled windows."""
+    import numpy as np
+    import pyarrow as pa
+
+    passed: list = []
+    doc, h = _unpacked(batches, passed)
     order = np.argsort(doc, kind="stable")
-    h, doc = h[order], doc[order]
-    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    rows = [(int(doc[a]), None, None, h[a:b].tobytes()) for a, b in zip(edge, np.r_[edge[1:], len(doc)], strict=True)]
-    for at in range(0, len(rows), 4096):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 4096], strict=True), kinds, strict=True)], names)
+    doc, h = doc[order], h[order]
+    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    found: dict[int, list] = {}
+    for a, b in zip(edge, np.r_[edge[1:], len(doc)] if len(doc) else edge, strict=True):
+        found[int(doc[a])] = [{"digest": None, "spans": None, "hashes": h[a:b].tobytes()}]
+    for i, digest, spans in passed:
+        found.setdefault(i, []).append({"digest": digest, "spans": spans, "hashes": None})
+    kind = pa.list_(pa.struct([("digest", pa.int64()), ("spans", pa.binary()), ("hashes", pa.binary())]))
+    for at in range(0, len(found), 2048):
+        some = list(found.items())[at : at + 2048]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([x for _, x in some], kind)], ["doc_id", "found"])
 
 
 def _trim(window: int, layout: bool):
@@ -207,9 +254,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_bytes: int =
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes), 1)
-    sent = texts.mapInArrow(_ship(window, buckets, chunk_windows), "bucket int, ids binary, counts binary, hashes binary, digest long, spans binary")
-    settled = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle, "doc_id long, digest long, spans binary, hashes binary")
-    return settled.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "spans", "hashes")).alias("found"))
+    sent = texts.mapInArrow(_ship(window, buckets, chunk_windows), PACKED)
+    settled = sent.repartitionById(buckets, F.col("slot")).mapInArrow(_settle(buckets), PACKED)
+    return settled.repartitionById(buckets, F.col("slot")).mapInArrow(_gather, "doc_id long, found array<struct<digest:long,spans:binary,hashes:binary>>")
 
 
 def trimmed(docs: DataFrame, window: int = WINDOW, layout: bool = False, **limits) -> DataFrame:
