@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Word offsets that a seed hashes.
 MASKS = ((0, 2, 3, 4, 5, 6), (0, 1, 2, 3, 6, 7))
-SPAN = 8
 #: An aligned run of this many words (or the whole item, if shorter) is judged.
 REACH = 18
 #: Items with fewer words cannot be told from chance and never match.
@@ -33,12 +32,17 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _positions(hashes: str, mask: tuple[int, ...]) -> Column:
+    """How many windows of a mask an array of word hashes has."""
+    return F.greatest(F.size(hashes) - mask[-1], F.lit(0))
+
+
 def _seeds(hashes: str) -> Column:
     """All seeds of an array column of word hashes: those of the first mask by position, then those of the second."""
-    last = F.size(hashes) - SPAN
-    at = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
 
     def under(number: int, mask: tuple[int, ...]) -> Column:
+        n = _positions(hashes, mask)
+        at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.xxhash64(F.lit(number), *[F.element_at(F.col(hashes), i + o) for o in mask]))
 
     return F.concat(*[under(k, m) for k, m in enumerate(MASKS)])
@@ -46,8 +50,9 @@ def _seeds(hashes: str) -> Column:
 
 def _seed_rows(rows: DataFrame, *keys: str) -> DataFrame:
     """``keys, at, seed`` of every window of ``words`` (array of hashes); ``at`` is the first word's position."""
-    seeded = rows.select(*keys, F.greatest(F.size("words") - SPAN + 1, F.lit(1)).alias("windows"), F.posexplode(_seeds("words")).alias("pos", "seed"))
-    return seeded.select(*keys, (F.col("pos") % F.col("windows")).alias("at"), "seed")
+    seeded = rows.select(*keys, _positions("words", MASKS[0]).alias("firsts"), F.posexplode(_seeds("words")).alias("pos", "seed"))
+    at = F.when(F.col("pos") < F.col("firsts"), F.col("pos")).otherwise(F.col("pos") - F.col("firsts"))
+    return seeded.select(*keys, at.alias("at"), "seed")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
