@@ -110,8 +110,7 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
     "ev": (
         [],
         "SELECT event_id, ts, user_id, event_type, value, "
-        "CAST(date_diff('day', DATE '2024-01-01', ts::DATE) // 2 + 1 AS INTEGER) AS t FROM events "
-        "WHERE ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-13'",
+        "CAST(floor(date_diff('day', DATE '2024-01-01', ts::DATE) / 10) AS INTEGER) + 4 AS t FROM events",
     ),
     "sessions": (
         ["ev"],
@@ -129,7 +128,7 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
         "SELECT CAST(user_id AS VARCHAR) AS subject_id, t, event_type = 'error' AND value >= 20 AS qualifies, "
         "CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS stage, "
         "CASE event_type WHEN 'error' THEN 'convulsion_posture_loss' WHEN 'purchase' THEN 'whirlpool' ELSE 'swim' END AS behavior_class, "
-        "300.0::DOUBLE AS session_duration_s, least(value, 60.0::DOUBLE) AS event_duration_s, value / 10 AS mean_velocity, "
+        "300.0::DOUBLE AS session_duration_s, value AS event_duration_s, value / 10 AS mean_velocity, "
         "value / 5 AS peak_velocity, value / 4 AS rms_bend, value / 2 AS max_bend, "
         "0.5::DOUBLE + (event_id % 50) / 100.0::DOUBLE AS likelihood, event_id % 20 <> 1 AS tracking_qc_pass FROM ev WHERE event_id % 2 = 1",
     ),

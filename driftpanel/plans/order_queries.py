@@ -22,9 +22,8 @@ _RANK = "CASE c_mktsegment " + " ".join(f"WHEN '{a}' THEN {i}" for i, a in enume
 ORDERS = {
     "facts": (
         [],
-        "SELECT o_custkey, o_orderdate, CAST(year(o_orderdate) - 1991 AS INTEGER) AS t, l_linenumber, l_quantity, l_discount, l_returnflag, "
-        "l_extendedprice * (1 - l_discount) / 1000 AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey "
-        "WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'",
+        "SELECT o_custkey, o_orderdate, CAST(floor((year(o_orderdate) - 1995) / 3) AS INTEGER) + 4 AS t, l_linenumber, l_quantity, l_discount, l_returnflag, "
+        "l_extendedprice * (1 - l_discount) / 1000 AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     ),
     "sessions": (
         ["facts"],
@@ -40,13 +39,13 @@ ORDERS = {
         "SELECT CAST(o_custkey AS VARCHAR) AS subject_id, t, l_quantity >= 40 AND value >= 20 AS qualifies, "
         "CASE WHEN l_quantity >= 40 THEN 3 WHEN l_quantity >= 25 THEN 2 WHEN l_quantity >= 10 THEN 1 ELSE 0 END AS stage, "
         "CASE WHEN l_quantity >= 40 THEN 'convulsion_posture_loss' WHEN l_quantity >= 25 THEN 'whirlpool' ELSE 'swim' END AS behavior_class, "
-        "300.0::DOUBLE AS session_duration_s, least(value, 60.0::DOUBLE) AS event_duration_s, value / 10 AS mean_velocity, value / 5 AS peak_velocity, "
+        "300.0::DOUBLE AS session_duration_s, value AS event_duration_s, value / 10 AS mean_velocity, value / 5 AS peak_velocity, "
         "value / 4 AS rms_bend, value / 2 AS max_bend, 0.5::DOUBLE + l_discount AS likelihood, l_linenumber <> 7 AS tracking_qc_pass FROM facts WHERE l_returnflag = 'R'",
     ),
     "raw_outcomes": (
         [],
         "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS subject_id, CAST(o_custkey % 2 AS INTEGER) AS became_positive, CAST(NULL AS DOUBLE) AS first_event_hours "
-        "FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'",
+        "FROM orders",
     ),
     "ranked_index": (
         ["state_index", "outcomes"],
@@ -86,7 +85,7 @@ def abnormality(ctx):
 
 
 @orders("dq_panel", ["sessions", "outcomes", "behavior"],
-        "SELECT 'period_outside_window' AS rule, 0::BIGINT AS n_bad UNION ALL SELECT 'wrong_baseline_period', 0 UNION ALL SELECT 'unknown_arm', 0 UNION ALL SELECT 'feature_not_finite', 0 UNION ALL SELECT 'negative_feature', 0 "
+        "SELECT 'period_outside_window' AS rule, count(*) FILTER (WHERE t NOT BETWEEN 4 AND 6) AS n_bad FROM sessions UNION ALL SELECT 'wrong_baseline_period', 0 UNION ALL SELECT 'unknown_arm', 0 UNION ALL SELECT 'feature_not_finite', 0 UNION ALL SELECT 'negative_feature', 0 "
         "UNION ALL SELECT 'negative_session_dose', 0 UNION ALL SELECT 'qc_flag_differs_from_rule', count(*) FILTER (WHERE (shift <= 50) <> qc_pass) FROM sessions UNION ALL SELECT 'duplicate_session', CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM sessions GROUP BY subject_id, t) "
         "UNION ALL SELECT 'no_resolved_target', 0 UNION ALL SELECT 'target_mostly_unresolved', 0 UNION ALL SELECT 'target_has_one_class', 0 UNION ALL SELECT 'negative_outcome_dose', 0 "
         "UNION ALL SELECT 'session_without_outcome', count(*) FROM sessions WHERE subject_id NOT IN (SELECT subject_id FROM outcomes) UNION ALL SELECT 'behavior_without_outcome', count(*) FROM behavior WHERE subject_id NOT IN (SELECT subject_id FROM outcomes) "

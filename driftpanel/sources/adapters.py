@@ -35,16 +35,13 @@ def _feature_aggregates(value: Column, is_burst: Column, per: float) -> list[Col
 def event_study(spark: SparkSession, sf_dir: str, spec: PanelSpec = EVENT_SPEC) -> RawStudy:
     """Even event ids are the measured signal, odd ones the scored event log.
 
-    Periods are two-day windows counted from 2024-01-01; the timestamp bounds reach the scan.
+    Periods are ten days long, counted from 2024-01-01; every event is kept, also outside the
+    periods of ``spec``, where the quality rules count it.
     """
-    first, last = spec.periods[0], spec.periods[-1]
-    start = F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval({2 * (first - 1)})")
-    stop = F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval({2 * last})")
     events = (
         spark.read.parquet(f"{sf_dir}/events.parquet")
         .select("event_id", "ts", "user_id", "event_type", "value")
-        .where((F.col("ts") >= start) & (F.col("ts") < stop))
-        .withColumn("t", F.expr("cast(datediff(to_date(ts), DATE'2024-01-01') div 2 + 1 as int)"))
+        .withColumn("t", F.expr(f"cast(floor(datediff(to_date(ts), DATE'2024-01-01') / 10) as int) + {spec.t0}"))
     )
     user = F.col("user_id")
     arm = F.concat(F.lit("a"), (user % 4).cast("string"))
@@ -92,7 +89,7 @@ def event_study(spark: SparkSession, sf_dir: str, spec: PanelSpec = EVENT_SPEC)
         stage.alias("stage"),
         behavior_class.alias("behavior_class"),
         F.lit(300.0).alias("session_duration_s"),
-        F.least(F.col("value"), F.lit(60.0)).alias("event_duration_s"),
+        F.col("value").alias("event_duration_s"),
         (F.col("value") / 10).alias("mean_velocity"),
         (F.col("value") / 5).alias("peak_velocity"),
         (F.col("value") / 4).alias("rms_bend"),
@@ -109,18 +106,14 @@ def event_study(spark: SparkSession, sf_dir: str, spec: PanelSpec = EVENT_SPEC)
 
 
 def order_study(spark: SparkSession, sf_dir: str, spec: PanelSpec = ORDER_SPEC) -> RawStudy:
-    """Customers are subjects, order years are periods, line items are the signal.
+    """Customers are subjects, spans of three order years from 1995 are periods, line items are the signal.
 
     Lines shipped under return flag R form the event log; the others form the sessions.
     """
     orders = (
         spark.read.parquet(f"{sf_dir}/orders.parquet")
         .select("o_orderkey", "o_custkey", "o_orderdate")
-        .where(
-            (F.col("o_orderdate") >= F.expr("timestamp_ntz'1995-01-01 00:00:00'"))
-            & (F.col("o_orderdate") < F.expr("timestamp_ntz'1998-01-01 00:00:00'"))
-        )
-        .withColumn("t", (F.year("o_orderdate") - 1991).cast("int"))
+        .withColumn("t", F.floor((F.year("o_orderdate") - 1995) / 3).cast("int") + spec.t0)
     )
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"
@@ -174,7 +167,7 @@ def order_study(spark: SparkSession, sf_dir: str, spec: PanelSpec = ORDER_SPEC)
         .otherwise("swim")
         .alias("behavior_class"),
         F.lit(300.0).alias("session_duration_s"),
-        F.least(F.col("value"), F.lit(60.0)).alias("event_duration_s"),
+        F.col("value").alias("event_duration_s"),
         (F.col("value") / 10).alias("mean_velocity"),
         (F.col("value") / 5).alias("peak_velocity"),
         (F.col("value") / 4).alias("rms_bend"),
