@@ -48,8 +48,9 @@ def text_view(text: str | None, slots: dict):
     n = len(words)
     out = np.zeros(TEXT_SIZE, np.float32)
     if n:
-        for w in set(words) - slots.keys():
-            slots[w] = word_slots(w)
+        for w in set(words):
+            if w not in slots:
+                slots[w] = word_slots(w)
         pairs = np.array([slots[w] for w in words])
         out[: WORD_SLOTS + SHAPE_SLOTS] = np.sqrt(np.bincount(pairs.reshape(-1), minlength=WORD_SLOTS + SHAPE_SLOTS) / n)
         same = sum(map(bytes.__eq__, words[1:], words[:-1]))
