@@ -139,7 +139,7 @@ def resample(profile: DataFrame, n_classes: int, kind: str, seed: int, iteration
     lower = Window.partitionBy("iter").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     size, rank_sum = sum(F.col(f"w{c}") for c in range(n_classes)), sum(F.col(f"r{c}") for c in range(n_classes))
     shifted = parts.withColumn("_below", F.coalesce(F.sum(size).over(lower), F.lit(0)))
-    below = F.col("_below")
+    below = F.col("_below").cast("double")  # its square leaves the range of a long
     sums = [F.sum(F.col("q") + 2 * below * rank_sum + below * below * size).alias("q")]
     for c in range(n_classes):
         sums += [F.sum(f"w{c}").alias(f"w{c}"), F.sum(F.col(f"r{c}") + below * F.col(f"w{c}")).alias(f"r{c}")]
