@@ -215,7 +215,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **
     n = clean.count()
     share = min(1.0, fit_rows / max(n, 1))
     picked = clean.where(hash60(F.lit("rules"), F.col("doc_id")) <= int(share * (1 << 60)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id")
+    # About fit_rows ids pass the threshold, whatever the tables hold: they go to the texts, not the texts to them.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     # The kernel returns statistics by id; the label is joined again, both sides are bounded by the sample.
     table = text_statistics(texts).distinct().join(picked, "doc_id").select("doc_id", "quality", *FEATURES).toPandas()
     table = table.drop_duplicates("doc_id").sort_values("doc_id")
