@@ -12,8 +12,6 @@ from driftpanel.functions.lineage import cut_lineage
 from driftpanel.functions.ranks import attach, average_ranks
 from driftpanel.operators.stats import spearman
 
-WIDE_FACTOR = 64  # factors with more levels are removed by level means instead of indicator columns
-
 
 def one_hot(column: str, levels: Sequence) -> list[Column]:
     """Indicators of all but the first level, in sorted order."""
@@ -47,25 +45,34 @@ def _demean(df: DataFrame, factor: str, columns: Sequence[str]) -> DataFrame:
 
 
 def residualise(df: DataFrame, targets: Sequence[str], numeric: Sequence[str], factors: Sequence[str]) -> DataFrame:
-    """Replace ``targets`` by their residuals on [1, numeric, factor indicators], minimum-norm least squares."""
-    n_levels = df.agg(*[F.count_distinct(f).alias(f) for f in factors]).first().asDict() if factors else {}
-    wide = max(factors, key=lambda f: n_levels[f], default=None)
-    absorbed = wide if wide is not None and n_levels[wide] > WIDE_FACTOR else None
+    """Replace ``targets`` by their residuals on [1, numeric, factor indicators], minimum-norm least squares.
+
+    The factor with the most levels is removed by level means, the others by indicator columns, which
+    gives the same residuals. A NULL level has no indicator: it counts as the first level. Rows with a
+    NULL in ``targets`` or ``numeric`` are the caller's to leave out.
+    """
+    seen = df.agg(*[F.struct(F.count_distinct(f).alias("n"), F.min(f).alias("low")).alias(f) for f in factors]).first() if factors else {}
+    factors = [f for f in factors if seen[f].n > 0]
+    widest = max(factors, key=lambda f: seen[f].n, default=None)
+    df = df.withColumns({f: F.coalesce(F.col(f), F.lit(seen[f].low)) for f in factors})
     design = {f"_z{i}": F.col(c).cast("double") for i, c in enumerate(numeric)}
     for f in factors:
-        if f == absorbed:
-            continue
-        levels = [r[0] for r in df.select(f).where(F.col(f).isNotNull()).distinct().collect()]
-        design.update({f"_d_{f}_{i}": c for i, c in enumerate(one_hot(f, levels))})
+        if f != widest:
+            levels = [r[0] for r in df.select(f).distinct().collect()]
+            design.update({f"_d_{f}_{i}": c for i, c in enumerate(one_hot(f, levels))})
     table = df.withColumns({**design, **{t: F.col(t).cast("double") for t in targets}})
     names = list(design)
-    if absorbed is not None:
-        table = _demean(table, absorbed, [*names, *targets])
+    spread = dict.fromkeys(names, 0.0)
+    if names:
+        before = table.agg(*[F.max(F.abs(c)).alias(c) for c in names]).first()
+        spread = {c: before[c] or 0.0 for c in names}
+    if widest is not None:
+        table = _demean(table, widest, [*names, *targets])
     if names:
         # centre and scale, so that the normal equations stay well conditioned
         stats = table.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in names]).first()
-        # a constant column has no spread beyond rounding; it repeats the intercept and is dropped
-        names = [c for c in names if stats[c].s > 1e-10 * abs(stats[c].m)]
+        # a column that is constant (within levels) has no spread beyond rounding and repeats the intercept
+        names = [c for c in names if stats[c].s is not None and stats[c].s > 1e-10 * spread[c]]
         table = table.withColumns({c: (F.col(c) - stats[c].m) / stats[c].s for c in names})
     columns = [F.lit(1.0), *[F.col(c) for c in names]]
     p = len(columns)
@@ -81,9 +88,16 @@ def residualise(df: DataFrame, targets: Sequence[str], numeric: Sequence[str], f
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, numeric: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
-    """One row ``n, rho``: rank both sides, remove the covariates, correlate the ranks of the residuals."""
+    """One row ``n, rho``: rank both sides, remove the covariates, correlate the ranks of the residuals.
+
+    Rows with a NULL or NaN in ``x``, ``y`` or a numeric covariate are left out, so ``n`` counts the rows
+    used; a NULL factor level counts as the factor's first level.
+    """
     kept = [c for c in dict.fromkeys(["subject_id", x, y, *numeric, *factors]) if c in df.columns]
-    known = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*kept))
+    complete = F.lit(True)
+    for c in (x, y, *numeric):
+        complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    known = cut_lineage(df.where(complete).select(*kept))
     half = cut_lineage(average_ranks(known, x, "_rx").drop(x))
     ranked = cut_lineage(average_ranks(half, y, "_ry").drop(y))
     residuals = cut_lineage(residualise(ranked, ["_rx", "_ry"], numeric, factors).select("_rx", "_ry"))

@@ -219,6 +219,31 @@ def test_partial_correlation_matches_least_squares(spark, levels):
     assert row.n == n and row.rho == pytest.approx(adjusted(x, y, design), abs=1e-6)
 
 
+@pytest.mark.parametrize("levels", [2, 64, 65, 1000])
+def test_partial_correlation_with_nulls(spark, levels):
+    """A NULL level has no indicator, and rows with a NULL number are left out, at every number of levels."""
+    rng = np.random.default_rng(levels)
+    n = 4000
+    group, batch, dose = rng.integers(0, levels, n), rng.integers(0, 40, n), rng.normal(size=n)
+    x = dose + group % 5 + rng.normal(size=n)
+    y = 0.5 * dose + batch + 0.3 * x + rng.normal(size=n)
+    frame = pd.DataFrame({"x": x, "y": y, "dose": dose, "g": [f"g{v:04d}" for v in group], "b": [f"b{v:02d}" for v in batch]})
+    frame.loc[::10, "g"], frame.loc[::7, "b"] = None, None
+    rows = [tuple(None if i % 13 == 0 and c == "dose" else v for c, v in zip(frame.columns, r)) for i, r in enumerate(frame.itertuples(index=False))]
+    used = frame[np.arange(n) % 13 != 0]
+    dummies = [pd.get_dummies(used[c], drop_first=True).to_numpy(float) for c in ("g", "b")]
+    design = np.column_stack([np.ones(len(used)), used["dose"], *dummies])
+    df = spark.createDataFrame(rows, "x double, y double, dose double, g string, b string")
+    row = partial_spearman(df, "x", "y", ["dose"], ["g", "b"]).first()
+    assert row.n == len(used) and row.rho == pytest.approx(adjusted(used["x"], used["y"], design), abs=1e-6)
+
+
+def test_partial_correlation_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0, 1.0, None)], "x double, y double, dose double, g string")
+    row = partial_spearman(df, "x", "y", ["dose"], ["g"]).first()
+    assert (row.n or 0) == 0 and row.rho is None
+
+
 def test_partial_correlation_without_covariates_is_spearman(spark):
     x, y = skewed_values(300, 6), skewed_values(300, 7)[::-1].copy()
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
