@@ -130,7 +130,7 @@ def _fold_scores(table: DataFrame, grid, betas, n_candidates: int) -> DataFrame:
     rows = [(fold, i % n_candidates, b.tolist()) for i, ((_, _, fold), b) in enumerate(zip(grid, betas)) if fold >= 0]
     coefficients = table.sparkSession.createDataFrame(rows, "fold int, candidate int, beta array<double>")
     margin = F.aggregate(
-        F.zip_with(F.slice("beta", 2, 1_000_000), F.col("x"), lambda b, v: b * v), F.get("beta", F.lit(0)), lambda a, v: a + v
+        F.zip_with(F.slice("beta", F.lit(2), F.size("beta")), F.col("x"), lambda b, v: b * v), F.get("beta", F.lit(0)), lambda a, v: a + v
     )
     scored = table.join(F.broadcast(coefficients), "fold").select("fold", "candidate", "y", (1.0 / (1.0 + F.exp(-margin))).alias("score"))
     by_fold = average_precision(scored, "score", "y", ["fold", "candidate"])
