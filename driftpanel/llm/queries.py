@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from driftpanel.llm import cotraining, decontaminate, html_text, language, link_graph, mixing, quality_rules, simhash, substrings, tokens
+from driftpanel.llm import cotraining, decontaminate, html_text, language, link_graph, mixing, quality_rules, simhash, sql, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = sql.ORACLES
