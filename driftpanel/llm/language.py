@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,6 +26,7 @@ ROUNDS = 3
 #: Distinct words that a task remembers.
 REMEMBERED = 400_000
 BASE = 0x9E3779B97F4A7C15
+_ALMOST_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -209,17 +211,23 @@ def _expected(words: DataFrame, languages: tuple[str, ...], pieces: list[str], p
     return partial.groupBy("piece").agg(F.array(*sums).alias("total"))
 
 
+def letter_runs(text: str) -> list[str]:
+    """Maximal runs of letters; number signs such as fractions and superscripts are none."""
+    runs = _ALMOST_LETTERS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [part for w in runs for part in ("".join(c if c.isalpha() else " " for c in w)).split()]
+
+
 def _kernel(model: LanguageModel):
     """Batches of (key, text), or of one struct with a field ``text``, to (key, lang_pred, score)."""
     languages, pieces, probs = model.languages, list(model.pieces), model.probs
 
     def run(batches):
-        import re
-
         import numpy as np
         import pyarrow as pa
 
-        table, runs = PieceTable(pieces), re.compile(r"[^\W\d_]+")
+        table = PieceTable(pieces)
         number: dict[str, int] = {}
         logs = np.zeros((0, probs.shape[1]))
         for batch in batches:
@@ -228,7 +236,7 @@ def _kernel(model: LanguageModel):
             for at in range(0, len(batch), 2000):
                 if len(number) > REMEMBERED:
                     number, logs = {}, logs[:0]
-                found = [runs.findall(t.as_py().lower()) if t.is_valid and languages else [] for t in texts[at : at + 2000]]
+                found = [letter_runs(t.as_py().lower()) if t.is_valid and languages else [] for t in texts[at : at + 2000]]
                 known = len(number)
                 index = np.fromiter((number.setdefault(w, len(number)) for ws in found for w in ws), np.int64)
                 fresh = list(number)[known:]

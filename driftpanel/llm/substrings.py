@@ -275,11 +275,10 @@ def trimmed(docs: DataFrame, window: int = WINDOW, layout: bool = False, **limit
     bucket number, so the odds of a false match fall with more buckets: about 1e-7 a bucket.
     """
     found = repeated_windows(docs, window, **limits).select(F.col("doc_id").alias("__llm_id"), F.col("found").alias("__llm_found"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     others = [c for c in docs.columns if c != "text"]
-    joined = docs.join(found, key == found["__llm_id"], "left").select(
-        F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"), F.col("__llm_found").alias("found")
-    )
+    packed = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
+    key = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID))
+    joined = packed.join(found, key == F.col("__llm_id"), "left").select("row", "text", F.col("__llm_found").alias("found"))
     made = StructType.fromDDL("n_words long, n_removed long, removed array<struct<first:int,after:int>>, kept string")
     return joined.mapInArrow(_trim(window, layout), StructType([joined.schema["row"], *made.fields]))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftpanel.functions.lineage import cut_lineage
 
@@ -39,7 +39,6 @@ def hash60(*parts: Column) -> Column:
 
 def repeated_once(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per ``key``: of rows that share it, the one whose text is smallest."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(key).orderBy(F.col("text").asc_nulls_last())
-    return docs.withColumn("__llm_turn", F.row_number().over(order)).where("__llm_turn = 1").drop("__llm_turn")
+    order = Window.partitionBy(f"row.{key}").orderBy(F.col("row.text").asc_nulls_last())
+    turned = docs.select(F.struct(*docs.columns).alias("row")).withColumn("turn", F.row_number().over(order))
+    return turned.where("turn = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
