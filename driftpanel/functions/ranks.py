@@ -2,7 +2,7 @@
 
 A window with no partition key sorts the whole table in one task. Here the values are cut
 into buckets by an approximate-quantile sketch, bucket totals are accumulated (at most
-``buckets`` rows per group), and only the rows inside one bucket are sorted together. The
+one row per group and bucket), and only the rows inside one bucket are sorted together. The
 sketch decides how even the buckets are, never the result. Ties are aggregated before the
 sort, so one very common value is one row.
 
@@ -14,6 +14,7 @@ handful of values.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,9 +22,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from driftpanel.functions.hashing import key_bucket
 from driftpanel.functions.lineage import cut_lineage
 
-BUCKETS = 128
+LEAST_BUCKETS = 8
+BUCKET_ROWS = 200_000  # distinct values that one task sorts
 HOT_SHARE = 256
-ONE_TASK_ROWS = 200_000  # tables up to this counted size are sorted in one task per group
+
+
+def buckets_for(rows: int) -> int:
+    """Number of buckets of a table: a power of two that grows with its rows."""
+    return max(LEAST_BUCKETS, 1 << math.ceil(math.log2(max(1.0, rows / BUCKET_ROWS))))
 
 
 def _sketch(value: str, buckets: int) -> Column:
@@ -48,7 +54,7 @@ def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def with_buckets(
-    df: DataFrame, value: str, group: Sequence[str] = (), buckets: int = BUCKETS, name: str = "_bucket"
+    df: DataFrame, value: str, group: Sequence[str] = (), buckets: int = LEAST_BUCKETS, name: str = "_bucket"
 ) -> DataFrame:
     """Add a bucket number that grows with ``value`` and never splits equal values.
 
@@ -65,21 +71,18 @@ def running_totals(
     measures: Sequence[str],
     group: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<measure>`` over distinct ``value`` rows of each group.
 
     ``table`` holds one row per (group, value). It is read several times, so it is written once;
-    its counted size decides whether buckets are needed.
+    the number of buckets follows from its rows unless it is given.
     """
     def direction(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
     table = cut_lineage(table)
-    if table.count() <= ONE_TASK_ROWS:
-        whole = Window.partitionBy(*group).orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, 0)
-        return table.withColumns({f"cum_{m}": F.sum(m).over(whole) for m in measures})
-    keyed = with_buckets(table, value, group, buckets)
+    keyed = with_buckets(table, value, group, buckets or buckets_for(table.count()))
     keys = [*group, "_bucket"]
     totals = keyed.groupBy(*keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
 
@@ -127,13 +130,12 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def exact_percentiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], group: Sequence[str] = (), buckets: int = BUCKETS
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], group: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """Exact, linearly interpolated percentiles: one row per (group, feature, p) with ``value``.
 
-    Values are first reduced to counts, which are written once. A small table of counts is
-    ranked as it is; for a large one, bucket totals locate the wanted positions, and only the
-    buckets holding one are sorted. NULL values are ignored.
+    Values are first reduced to counts, which are written once. Bucket totals locate the wanted
+    positions, and only the buckets holding one are sorted. NULL values are ignored.
     """
     keys = [*group, "feature"]
     entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_v")) for c in columns]
@@ -144,11 +146,7 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     counted = cut_lineage(counted)
-    if counted.count() <= ONE_TASK_ROWS:
-        ends = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_n"))
-        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probabilities]).alias("p"), F.col("_ends").alias("value"))
-        return counted.groupBy(*keys).agg(ends.alias("_ends")).select(*keys, F.inline(pairs))
-    located = with_buckets(counted, "_v", keys, buckets)
+    located = with_buckets(counted, "_v", keys, buckets or buckets_for(counted.count()))
     totals = located.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_n"))
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
     ends = totals.withColumns(

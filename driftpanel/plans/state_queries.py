@@ -284,14 +284,14 @@ def _fit_table(ctx):
 
 def _request(ctx, **changes):
     s = ctx.scaler.first()
-    return FitRequest(replace(study_options(3, 42, 2, 8), **changes), tuple(s.center), tuple(s.scale))
+    return FitRequest(replace(study_options(3, 42, 3), **changes), tuple(s.center), tuple(s.scale))
 
 
 @query("hm3_initial_centres")
 def hm3(ctx):
     """Seeded centres after the Lloyd steps, per restart."""
     table = _fit_table(ctx)
-    runs = [hmm._Run(i, _request(ctx), i) for i in range(2)]
+    runs = [hmm._Run(i, _request(ctx), i) for i in range(3)]
     hmm._initialise(table, runs)
     rows = [(r.restart, k, f, float(r.model.means[k, d])) for r in runs for k in range(3) for d, f in enumerate(FEATURES)]
     return ctx.spark.createDataFrame(rows, "restart int, state int, feature string, mean double")
@@ -385,7 +385,7 @@ def _parameter_rows(ctx, model):
 
 @query("hm6_fit")
 def hm6_fit(ctx):
-    """Parameters of a fit with two restarts over the train subjects."""
+    """Parameters of a fit with three restarts over the train subjects."""
     return _parameter_rows(ctx, fit_many(_fit_table(ctx), [_request(ctx)])[0])
 
 
@@ -407,8 +407,8 @@ def hm9(ctx):
 
 @query("hm10_select_state_count")
 def hm10(ctx):
-    """BIC and cross-validated likelihood of two and three states; a short fit."""
-    return select_state_count(ctx.usable, ctx.folds, ctx.spec, restarts=2, n_iter=6, fold_n_iter=4).table
+    """BIC and cross-validated likelihood of the candidate state counts."""
+    return select_state_count(ctx.usable, ctx.folds, ctx.spec).table
 
 
 _SCORED = "subject_id, arm, t, state AS predicted_state, " + ", ".join([f"{sql6('expected_state')} AS expected_state", *[f"{sql6(f'p{k}')} AS p_state_{k}" for k in range(_K)]])
@@ -467,8 +467,8 @@ def hm15_transitions(ctx):
 
 @query("hm16_control_only_refit")
 def hm16(ctx):
-    """Fit on the control arm, decode everyone, repeat the order test; a short fit."""
-    return control_only_refit(ctx.usable, ctx.outcomes, ctx.spec, 2, 44, 1, n_iter=6, bootstrap=100, permutations=100)
+    """Fit on the control arm, decode everyone, repeat the order test."""
+    return control_only_refit(ctx.usable, ctx.outcomes, ctx.spec, 2, 44, 3)
 
 
 # --- dynamics ---------------------------------------------------------------------------

@@ -15,8 +15,9 @@ from driftpanel.plans.analysis import as_metrics, landmark_vectors, score_metric
 from driftpanel.plans.oracle import draw_tables, mid_rank, r6 as sql6
 from driftpanel.plans.registry import query
 
-DRAWS = 60
 SEED = 42
+RHO_DRAWS, PERMUTATIONS = ordering.BOOTSTRAP_ITERATIONS, ordering.PERMUTATION_ITERATIONS
+FORECAST_DRAWS = 1_000
 
 
 # --- exact statistics -------------------------------------------------------------------
@@ -132,19 +133,19 @@ def _profile(ctx, index=None):
     return cut_lineage(ordering.arm_profile(ordering.with_arm(ctx.index if index is None else index, ctx.outcomes), ctx.spec))
 
 
-@query("st5_bootstrap_rho", ["boot"], f"SELECT CAST(iter AS INTEGER) AS iter, {sql6('rho')} AS rho FROM boot", extra=_bootstrap(SEED, DRAWS, _order_sources()))
+@query("st5_bootstrap_rho", ["boot"], f"SELECT CAST(iter AS INTEGER) AS iter, {sql6('rho')} AS rho FROM boot", extra=_bootstrap(SEED, RHO_DRAWS, _order_sources()))
 def st5(ctx):
-    return ordering.rho_draws(_profile(ctx), ctx.spec, "bootstrap", SEED, DRAWS).withColumn("rho", r6("rho"))
+    return ordering.rho_draws(_profile(ctx), ctx.spec, "bootstrap", SEED, RHO_DRAWS).withColumn("rho", r6("rho"))
 
 
-@query("st6_permutation_rho", ["null_p"], f"SELECT CAST(iter AS INTEGER) AS iter, {sql6('rho')} AS rho FROM null_p", extra=_permutation(SEED + 1, DRAWS, _order_sources()))
+@query("st6_permutation_rho", ["null_p"], f"SELECT CAST(iter AS INTEGER) AS iter, {sql6('rho')} AS rho FROM null_p", extra=_permutation(SEED + 1, PERMUTATIONS, _order_sources()))
 def st6(ctx):
-    return ordering.rho_draws(_profile(ctx), ctx.spec, "permutation", SEED + 1, DRAWS).withColumn("rho", r6("rho"))
+    return ordering.rho_draws(_profile(ctx), ctx.spec, "permutation", SEED + 1, PERMUTATIONS).withColumn("rho", r6("rho"))
 
 
 def _primary_sql(seed: int, where: str) -> tuple[dict, str]:
     source = _order_sources(where=where)
-    tables = {**_bootstrap(seed, DRAWS, source), **_permutation(seed + 1, DRAWS, source)}
+    tables = {**_bootstrap(seed, RHO_DRAWS, source), **_permutation(seed + 1, PERMUTATIONS, source)}
     tables["seen"] = (["positions"], f"SELECT count(*) AS n, corr(rx, ry) AS rho FROM (SELECT {mid_rank('x')} AS rx, {mid_rank('y')} AS ry FROM positions)")
     select = (
         f"SELECT s.n, {sql6('s.rho')} AS rho, b.n_draws, {sql6('b.ci_low')} AS ci_low, {sql6('b.ci_high')} AS ci_high, p.n_permutations, {sql6('p.null_mean')} AS null_mean, {sql6('p.null_sd')} AS null_sd, {sql6('p.one_sided_p')} AS one_sided_p "
@@ -163,7 +164,7 @@ def _primary(name: str, seed: int, held_out: bool):
     @query(name, ["seen", "boot", "null_p"], select, extra=tables)
     def run(ctx):
         index = restrict(ctx.index, ctx.test) if held_out else ctx.index
-        table = ordering.primary_test(index, ctx.outcomes, ctx.spec, seed, DRAWS, DRAWS)
+        table = ordering.primary_test(index, ctx.outcomes, ctx.spec, seed)
         return table.withColumns({c: r6(c) for c in _ROUNDED})
 
 
@@ -172,15 +173,15 @@ _primary("st13_held_out_order_test", SEED + 500, held_out=True)
 
 
 @query("ag20_percentile_interval", ["boot"],
-       f"SELECT count(rho) AS n_draws, {sql6('quantile_cont(rho, 0.025)')} AS ci_low, {sql6('quantile_cont(rho, 0.975)')} AS ci_high FROM boot", extra=_bootstrap(SEED, DRAWS, _order_sources()))
+       f"SELECT count(rho) AS n_draws, {sql6('quantile_cont(rho, 0.025)')} AS ci_low, {sql6('quantile_cont(rho, 0.975)')} AS ci_high FROM boot", extra=_bootstrap(SEED, RHO_DRAWS, _order_sources()))
 def ag20(ctx):
-    draws = ordering.rho_draws(_profile(ctx), ctx.spec, "bootstrap", SEED, DRAWS)
+    draws = ordering.rho_draws(_profile(ctx), ctx.spec, "bootstrap", SEED, RHO_DRAWS)
     return stats.percentile_interval(draws, "rho").withColumns({c: r6(c) for c in ("ci_low", "ci_high")})
 
 
 _FORECAST_BOOT = {
     "positions": (["forecasts"], "SELECT row_number() OVER (ORDER BY risk, target) - 1 AS j, risk, target FROM forecasts"),
-    **draw_tables(SEED + 10, DRAWS, "positions"),
+    **draw_tables(SEED + 10, FORECAST_DRAWS, "positions"),
     "drawn": (["draws", "positions"], "SELECT d.iter, p.risk, p.target FROM draws d JOIN positions p ON p.j = (d.h * (SELECT count(*) FROM positions)) >> 32"),
     "drawn_auc": (
         ["drawn"],
@@ -198,7 +199,7 @@ _FORECAST_BOOT = {
        f"SELECT CAST(i.iter AS INTEGER) AS iter, {sql6('a.auc')} AS roc_auc, CASE WHEN a.auc IS NOT NULL THEN {sql6('p.ap')} END AS average_precision FROM (SELECT DISTINCT iter FROM drawn) i LEFT JOIN drawn_auc a USING (iter) LEFT JOIN drawn_ap p USING (iter)",
        extra=_FORECAST_BOOT)
 def st7(ctx):
-    return ordering.forecast_draws(ctx.forecasts, SEED + 10, DRAWS).withColumns({c: r6(c) for c in ("roc_auc", "average_precision")})
+    return ordering.forecast_draws(ctx.forecasts, SEED + 10, FORECAST_DRAWS).withColumns({c: r6(c) for c in ("roc_auc", "average_precision")})
 
 
 # --- adjustment -------------------------------------------------------------------------
@@ -262,9 +263,9 @@ def st10_table(ctx):
 
 @query("st14_negative_controls")
 def st14(ctx):
-    """Shuffled labels, control-only refit (short), and leave-one-arm-out as one long table."""
-    primary = ordering.primary_test(ctx.index, ctx.outcomes, ctx.spec, SEED, DRAWS, DRAWS)
-    refit = ordering.control_only_refit(ctx.usable, ctx.outcomes, ctx.spec, 2, SEED + 2, 1, n_iter=4, bootstrap=DRAWS, permutations=DRAWS)
+    """Shuffled labels, control-only refit, and leave-one-arm-out as one long table."""
+    primary = ordering.primary_test(ctx.index, ctx.outcomes, ctx.spec, SEED)
+    refit = ordering.control_only_refit(ctx.usable, ctx.outcomes, ctx.spec, 2, SEED + 2, 3)
     return ordering.negative_controls(primary, refit, ordering.leave_one_arm_out(ctx.index, ctx.outcomes, ctx.spec))
 
 

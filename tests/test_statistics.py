@@ -26,11 +26,14 @@ def skewed_values(n=3000, seed=1):
     return x
 
 
-@pytest.fixture(params=["one task", "buckets"])
+@pytest.fixture(params=[200_000, 10])
 def path(request, monkeypatch):
-    """Run with the small-table path and with the bucket path."""
-    if request.param == "buckets":
-        monkeypatch.setattr(ranks, "ONE_TASK_ROWS", 0)
+    """Run with the fewest buckets and with very many."""
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", request.param)
+
+
+def test_buckets_grow_with_rows():
+    assert [ranks.buckets_for(n) for n in (0, 1, 200_000, 10**7, 10**10)] == [8, 8, 8, 64, 65536]
 
 
 def test_percentiles_are_exact_on_skewed_values(spark, path):
@@ -46,8 +49,7 @@ def test_percentiles_are_exact_on_skewed_values(spark, path):
 
 
 @pytest.mark.parametrize("buckets", [2, 16, 128])
-def test_ranks_do_not_depend_on_buckets(spark, buckets, monkeypatch):
-    monkeypatch.setattr(ranks, "ONE_TASK_ROWS", 0)
+def test_ranks_do_not_depend_on_buckets(spark, buckets):
     x = skewed_values()
     table = spark.createDataFrame(pd.DataFrame({"x": x})).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     got = {r.x: r.r for r in ranks.mid_ranks(ranks.running_totals(table, "x", ["n"], buckets=buckets).drop("cum_n"), "x", name="r").collect()}
