@@ -67,11 +67,31 @@ def st4(ctx):
     return stats.spearman_ordinal(joined, "mean_state_index", "arm", ctx.spec.arms).withColumn("rho", r6("rho"))
 
 
-@query("st4_p_value")
+def _p_sql(rho: str, n: str, steps: int = 4000) -> str:
+    """Two-sided p of a correlation: the share of cos(a)^(n - 3) beyond asin(|rho|), both integrals by Simpson's rule."""
+    def area(low: str) -> str:
+        weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+        angle = f"({low} + (pi() / 2 - {low}) * i / {steps})"
+        return f"((pi() / 2 - {low}) * (SELECT sum({weight} * pow(greatest(cos{angle}, 0), {n} - 3)) FROM range({steps + 1}) steps(i)))"
+
+    return f"{area(f'asin(abs({rho}))')} / {area('0')}"
+
+
+def _with_p(rho_sql: str) -> str:
+    """``n, rho, p`` from a select of ``n`` and an unrounded ``rho``."""
+    return f"SELECT n, {sql6('rho')} AS rho, {sql6(_p_sql('rho', 'n'))} AS p FROM ({rho_sql})"
+
+
+def _raw_rho(x: str, y: str, source: str) -> str:
+    return f"SELECT count(*) AS n, corr(rx, ry) AS rho FROM (SELECT {mid_rank(x)} AS rx, {mid_rank(y)} AS ry FROM {source})"
+
+
+@query("st4_p_value", ["forecasts", "ranked_index"],
+       _with_p(_raw_rho("risk", "y", "(SELECT f.risk, r.y FROM forecasts f JOIN ranked_index r USING (subject_id))")))
 def st4_p(ctx):
     """Spearman of risk against mean state, with its two-sided p-value."""
     joined = ctx.forecasts.join(ctx.index, "subject_id")
-    return stats.with_p_value(stats.spearman(joined, "risk", "mean_state_index"))
+    return stats.with_p_value(stats.spearman(joined, "risk", "mean_state_index")).withColumns({c: r6(c) for c in ("rho", "p")})
 
 
 @query("st11_dose_risk_rho", ["forecasts"], _rho("dose", "risk", "forecasts"))
@@ -214,7 +234,7 @@ def _adjusted_sql(source: str, x: str, y: str, regressors: list[str]) -> tuple[d
         cells = [f"CASE WHEN sum(z{i} * z{i}) OVER () > 1e-9 THEN {c} - z{i} * sum(z{i} * {c}) OVER () / sum(z{i} * z{i}) OVER () ELSE {c} END AS {c}"
                  for c in ("a", "b", *[f"z{j}" for j in range(i + 1, p)])]
         tables[f"ortho{i + 1}"] = ([f"ortho{i}"], f"SELECT {', '.join(cells)} FROM ortho{i}")
-    select = f"SELECT count(*) AS n, {sql6('corr(ra, rb)')} AS rho FROM (SELECT {mid_rank('round(a, 8)')} AS ra, {mid_rank('round(b, 8)')} AS rb FROM ortho{p})"
+    select = _with_p(f"SELECT count(*) AS n, corr(ra, rb) AS rho FROM (SELECT {mid_rank('round(a, 8)')} AS ra, {mid_rank('round(b, 8)')} AS rb FROM ortho{p})")
     return tables, select
 
 
@@ -225,7 +245,7 @@ _ST8_TABLES, _ST8_SQL = _adjusted_sql(
 
 @query("st8_partial_spearman", ["ortho7"], _ST8_SQL, extra=_ST8_TABLES)
 def st8(ctx):
-    return behave.adjusted_behavior_rho(ctx.merged_behavior).withColumn("rho", r6("rho"))
+    return stats.with_p_value(behave.adjusted_behavior_rho(ctx.merged_behavior)).withColumns({c: r6(c) for c in ("rho", "p")})
 
 
 _ADJUSTED_INDEX = {
@@ -243,7 +263,7 @@ _ST9_TABLES, _ST9_SQL = _adjusted_sql(
 
 @query("st9_adjusted_order", ["ortho9"], _ST9_SQL, extra={**_ADJUSTED_INDEX, **_ST9_TABLES})
 def st9(ctx):
-    return ordering.covariate_adjusted(ctx.index, ctx.outcomes, ctx.usable, ctx.spec).withColumn("rho", r6("rho"))
+    return stats.with_p_value(ordering.covariate_adjusted(ctx.index, ctx.outcomes, ctx.usable, ctx.spec)).withColumns({c: r6(c) for c in ("rho", "p")})
 
 
 @query("st10_behavior_validation", ["merged_behavior"], _rho("risk", "abnormality", "merged_behavior"))
