@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 WINDOW = 3
 #: A stretch of text lines is kept when some window of it reaches this many characters, or half of the page's fullest window.
 PEAK = 86
+#: A character inside an article or main element counts so many times.
+BODY_WEIGHT = 2
 
 # Element names of the markup language, by role.
 UNSEEN = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "textarea", "title", "audio", "video")
@@ -131,18 +133,17 @@ def main_text(page: str | None) -> str:
     """Main text of one page; empty for null, empty, and pages without text outside furniture.
 
     Furniture (menus, headers, footers, asides, forms, adverts, notices, comments, by element, role,
-    or name) counts as lines without text. Where an article or main element holds text, the lines
-    outside it count as empty too, and every line inside it is kept; else the distribution decides.
-    A page that a wrongly nested name would empty is read again by element names alone.
+    or name) counts as lines without text. On every page the distribution decides which of the other
+    lines stay; characters inside an article or main element weigh ``BODY_WEIGHT`` times as much.
+    Where it leaves nothing (all text is links), the lines of the article or main element stay. A
+    page that a wrongly nested name would empty is read again by element names alone.
     """
     for by_name in (True, False):
         lines = lines_of(page or "", by_name)
-        framed = any(body and not off for _, _, off, body in lines)
-        if framed:
+        lengths = [0 if off else outside * (BODY_WEIGHT if body else 1) for _, outside, off, body in lines]
+        kept = [k and not line[2] for k, line in zip(between_surges(lengths), lines, strict=True)]
+        if not any(kept):
             kept = [body and not off for _, _, off, body in lines]
-        else:
-            lengths = [0 if off else outside for _, outside, off, _ in lines]
-            kept = [k and not line[2] for k, line in zip(between_surges(lengths), lines, strict=True)]
         if any(kept):
             return " ".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
     return ""

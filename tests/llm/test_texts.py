@@ -182,6 +182,22 @@ def test_distribution_decides_without_an_article_element():
     assert got == " ".join(f"{'sentence of the text number ' * 4}{i}" for i in range(4))
 
 
+def test_story_beside_article_cards_stays():
+    card = '<article><h3><a href="/x">Card</a></h3><p>Short</p></article>'
+    story = [f"{'sentence of the story number ' * 4}{i}" for i in range(4)]
+    page = f"<body>{card * 3}<nav>{'<p>menu</p>' * 4}</nav>{''.join(f'<div>{x}</div>' for x in story)}</body>"
+    assert html_text.main_text(page) == " ".join(story)
+    for name in ("article", "main"):
+        assert html_text.main_text(f"<{name}><p><a href='/x'>only a link</a></p></{name}>") == "only a link"
+
+
+def test_article_text_weighs_more_than_text_beside_it():
+    gap = f"<nav>{'<p>menu</p>' * 4}</nav>"
+    page = lambda name: f"<body><div>{'x' * 200}</div>{gap}<{name}>{'y' * 50}</{name}>{gap}<div>{'z' * 50}</div></body>"
+    assert html_text.main_text(page("article")) == f"{'x' * 200} {'y' * 50}"
+    assert html_text.main_text(page("div")) == "x" * 200
+
+
 def test_surges_and_dives():
     assert html_text.between_surges([0, 0, 3, 0, 0, 0, 90, 0, 5, 80, 0, 0, 0, 2]) == [False] * 6 + [True] * 4 + [False] * 4
     assert html_text.between_surges([]) == []
