@@ -19,7 +19,7 @@ BITS = 64 * WORDS
 BLOCKS = 64
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Members of one bucket that are compared together; larger buckets are dealt into such parts anew for every block.
+#: Members of one bucket that are compared together; larger buckets are dealt into such parts.
 PART = 4096
 #: Of the two fingerprint words that travel with a block, as many bits may differ before the rest is looked at (3 deviations).
 PREVIEW_SLACK = 3.0
@@ -135,70 +135,156 @@ def _blocks(bits: int):
 
 
 def _near_in_buckets(limit: int, part: int):
-    """Candidate links inside buckets that arrive in order: all close pairs of small ones, spanning forests of large parts."""
+    """Buckets that arrive in order to ``bucket, a, b``: close pairs of the previews (no bucket), or the members of a dense bucket (no ``b``)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def links(rows):
+        def links(rows, cut):
             bucket, node, first, second = rows
-            cut = np.zeros(len(bucket), np.int64)
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            cut = (np.arange(len(bucket)) - np.repeat(starts, np.diff(np.r_[starts, len(bucket)]))) // part
-            a, b = close_pairs(bucket, cut, first, second, limit)
+            a, b, dense = close_pairs(bucket, first, second, limit, part, cut)
             x, y = node[a], node[b]
             pair = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-        kept = [np.zeros(0, np.int64)] * 4
+            none = np.r_[np.ones(len(pair), bool), np.zeros(len(dense), bool)]
+            columns = [
+                pa.array(np.r_[np.zeros(len(pair), np.int64), bucket[dense]], mask=none),
+                pa.array(np.r_[pair[:, 0], node[dense]]),
+                pa.array(np.r_[pair[:, 1], np.zeros(len(dense), np.int64)], mask=~none),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "a", "b"])
+
+        kept, cut = [np.zeros(0, np.int64)] * 4, None
         for batch in batches:
             new = [batch.column(n).to_numpy() for n in ("bucket", "node", "first", "second")]
             now = [np.concatenate(x) for x in zip(kept, new, strict=True)]
+            if not len(now[0]):
+                continue
             start = len(now[0]) - int(np.argmax(now[0][::-1] != now[0][-1])) if (now[0] != now[0][-1]).any() else 0
-            # A part of a large bucket is complete once it is full.
-            start += (len(now[0]) - start) // part * part
-            kept = [x[start:] for x in now]
+            full = (len(now[0]) - start) // part * part
+            kept = [x[start + full :] for x in now]
             if start:
-                yield links([x[:start] for x in now])
+                yield links([x[:start] for x in now], cut)
+            if full:
+                # A bucket of this many members is dense anyhow, its rows can go on.
+                cut = int(now[0][-1])
+                yield links([x[start : start + full] for x in now], cut)
         if len(kept[0]):
-            yield links(kept)
+            yield links(kept, cut)
 
     return run
 
 
-def close_pairs(bucket, cut, first, second, limit: int, shifts: int = 24):
-    """Positions of pairs within ``limit`` bits on two words: all of them in small groups, a spanning forest in larger ones."""
+def close_pairs(bucket, first, second, limit: int, part: int = PART, cut: int | None = None, shifts: int = 128):
+    """Positions of all pairs within ``limit`` bits on two words, and of the members of dense buckets, whose pairs are left out.
+
+    Dense are buckets of ``part`` members or more, the bucket ``cut``, and those with over 12 close pairs a member.
+    """
     import numpy as np
 
     first, second = first.view(np.uint64), second.view(np.uint64)
-    start = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (cut[1:] != cut[:-1])])
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     size = np.diff(np.r_[start, len(bucket)])
     group = np.repeat(np.arange(len(start)), size)
-    small = size[group] <= shifts
+    dense = (size >= part) | (bucket[start] == cut if cut is not None else False)
+    small = (size <= shifts) & ~dense
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for d in range(1, min(shifts, int(size.max()))):
-        at = np.flatnonzero((group[d:] == group[:-d]) & small[:-d])
-        if not len(at):
-            break
-        at = at[np.bitwise_count(first[at] ^ first[at + d]).astype(np.int16) + np.bitwise_count(second[at] ^ second[at + d]) <= limit]
+    within = lambda x, y: np.bitwise_count(first[x] ^ first[y]).astype(np.int16) + np.bitwise_count(second[x] ^ second[y]) <= limit
+    members = np.flatnonzero(small[group])
+    for d in range(1, int(size[small].max(initial=1))):
+        members = members[(members + d < len(group))]
+        members = members[group[members + d] == group[members]]
+        at = members[within(members, members + d)]
         a.append(at)
         b.append(at + d)
-    for g in np.flatnonzero(size > shifts):
-        left = np.arange(start[g], start[g] + size[g])
-        while len(left) > 1:
-            frontier, left = [left[0]], left[1:]
-            while frontier and len(left):
-                x = frontier.pop()
-                near = np.bitwise_count(first[left] ^ first[x]).astype(np.int16) + np.bitwise_count(second[left] ^ second[x]) <= limit
-                found = left[near]
-                a.append(np.full(len(found), x))
-                b.append(found)
-                frontier.extend(found.tolist())
-                left = left[~near]
+    for g in np.flatnonzero(~small & ~dense):
+        x, y, n = [], [], 0
+        for i in range(start[g], start[g] + size[g] - 1):
+            rest = np.arange(i + 1, start[g] + size[g])
+            found = rest[within(i, rest)]
+            x.append(np.full(len(found), i))
+            y.append(found)
+            n += len(found)
+            if n > 12 * size[g]:
+                dense[g] = True
+                break
+        else:
+            a += x
+            b += y
+    a, b = np.concatenate(a), np.concatenate(b)
+    dense |= np.bincount(group[a], minlength=len(start)) > 12 * size
+    sparse = ~dense[group[a]]
+    return a[sparse], b[sparse], np.flatnonzero(dense[group])
+
+
+def _fingerprints_of(column):
+    import numpy as np
+
+    return column.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+
+
+def spanning_forest(fps, most: int):
+    """Positions of links that span the components of (row, word) under whole distances of at most ``most`` bits."""
+    import numpy as np
+
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left = np.arange(len(fps))
+    while len(left) > 1:
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            x = frontier.pop()
+            near = np.bitwise_count(fps[left] ^ fps[x]).sum(axis=1, dtype=np.int32) <= most
+            found = left[near]
+            a.append(np.full(len(found), x))
+            b.append(found)
+            frontier.extend(found.tolist())
+            left = left[~near]
     return np.concatenate(a), np.concatenate(b)
 
 
+def _forests(most: int):
+    """``bucket, part, node, fp`` in order of bucket and part to links by whole distances that span each part's components."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def links(rows):
+            bucket, piece, node, fps = rows
+            start = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (piece[1:] != piece[:-1])])
+            pairs = [np.zeros((2, 0), np.int64)]
+            for at, end in zip(start, np.r_[start[1:], len(bucket)], strict=True):
+                a, b = spanning_forest(fps[at:end], most)
+                pairs.append(np.stack([node[at + a], node[at + b]]))
+            x, y = np.concatenate(pairs, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [*[batch.column(i).to_numpy() for i in range(3)], _fingerprints_of(batch.column(3))]
+            now = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
+            other = (now[0] != now[0][-1]) | (now[1] != now[1][-1])
+            start = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            kept = [x[start:] for x in now]
+            if start:
+                yield links([x[:start] for x in now])
+        if kept is not None:
+            yield links(kept)
+
+    return run
+
+
+def _dealt(dense: DataFrame, nodes: DataFrame, part: int) -> DataFrame:
+    """``bucket, part, parts, n, node, fp`` of the members of dense buckets, in parts of about ``part``."""
+    counts = dense.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("bucket", "n", F.col("n").alias("members"), F.ceil(F.col("n") / part).alias("parts"))
+    members = attach(dense, counts, "bucket", dense.count())
+    piece = F.pmod(F.xxhash64("bucket", "node"), F.col("parts"))
+    return members.withColumn("part", piece).join(nodes.select("node", "fp"), "node").select("bucket", "part", "parts", "members", "node", "fp")
+
+
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """``doc_id, component_id`` of every row: groups of texts that chains of similar pairs connect.
 
@@ -206,8 +292,9 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     expect (and half a deviation). They are found on 64 blocks of log2(documents) bits; a pair of
     similarity s shares at least one with probability 1 - (1 - (1 - p)^bits)^64, p as in
     ``expected_share``: at 2^18 documents 0.97 at s = 0.8 and over 0.999 at s = 0.85. Equal texts
-    are one node. A bucket is compared whole up to ``part`` members; a larger one is dealt into
-    parts, anew for every block, so its members meet in other blocks. Texts without words (null,
+    are one node. Where many members of a bucket are close on two words, whole fingerprints link
+    them. A bucket is compared whole up to ``part`` members; a larger one is dealt into parts,
+    anew for every block, so its members meet in other blocks. Texts without words (null,
     empty) are one group; null ids and repeated rows are rows like any other, and a null id names
     a group only if all its ids are null. An empty table gives an empty result.
     """
@@ -219,11 +306,18 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     limit = math.floor(128 * p + PREVIEW_SLACK * math.sqrt(128 * p * (1 - p)))
     blocks = nodes.select("node", "fp").mapInArrow(_blocks(bits), "bucket long, turn long, node long, first long, second long")
     dealt = blocks.repartition("bucket").sortWithinPartitions("bucket", "turn")
-    candidates = dealt.mapInArrow(_near_in_buckets(limit, part), "a long, b long").distinct()
+    found = cut_lineage(dealt.mapInArrow(_near_in_buckets(limit, part), "bucket long, a long, b long"))
+    candidates = found.where("b is not null").select("a", "b").distinct()
     ends = nodes.select("node", "fp")
     both = candidates.join(ends.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(ends.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
     distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    links = cut_lineage(both.where(distance <= most_bits(similarity)).select("a", "b"))
+    most = most_bits(similarity)
+    links = both.where(distance <= most).select("a", "b")
+    dense = found.where("b is null").select("bucket", F.col("a").alias("node"))
+    if not dense.isEmpty():
+        members = _dealt(dense, nodes, part).select("bucket", "part", "node", "fp").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+        links = links.unionByName(members.mapInArrow(_forests(most), "a long, b long")).distinct()
+    links = cut_lineage(links)
     groups = cut_lineage(connected_components(links).join(nodes.select("node", "smallest"), "node"))
     roots = groups.groupBy("root").agg(F.min("smallest").alias("least"), F.count(F.lit(1)).alias("n"))
     linked = attach(groups.select("node", "root"), roots, "root", groups.count()).select("node", "least", F.lit(True).alias("is_linked"))
