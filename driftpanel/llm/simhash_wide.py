@@ -2,7 +2,8 @@
 
 Fingerprints of 64 bits that differ in a few bits find only nearly equal texts. To find pairs of a
 Jaccard similarity of 0.8 over word shingles, whose fingerprints differ in about 15 % of the bits,
-these have 1,024 bits, 64 overlapping blocks, and a distance that stands for the similarity.
+these have 1,024 bits, 66 or more blocks of bits drawn from all of them, and a distance that stands
+for the similarity.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from driftpanel.llm.tables import attach, cut_lineage, repeated_once
 
 WORDS = 16
 BITS = 64 * WORDS
-BLOCKS = 64
+#: Share of the pairs at the stated similarity that have a block in common, whatever the number of texts.
+MEET = 0.999
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Members of one bucket that are compared together; larger buckets are dealt into such parts.
@@ -98,11 +100,29 @@ def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def block_bits(n: int) -> int:
-    """Bits of a block, so that about one in two blocks meets another by chance; never under 14."""
-    return min(max(math.ceil(math.log2(max(n, 2))), 14), 32)
+    """Bits of a block, so that about 64 texts meet in a bucket by chance; never under 14."""
+    return min(max(math.ceil(math.log2(max(n, 2))) - 6, 14), 32)
 
 
-def _blocks(bits: int):
+def block_count(bits: int, similarity: float) -> int:
+    """So many blocks that a pair of the similarity has one in common with probability ``MEET``."""
+    return math.ceil(math.log(1 - MEET) / math.log(1 - (1 - expected_share(similarity)) ** bits))
+
+
+def block_values(fps, bits: int, count: int):
+    """Values of ``count`` blocks, each of ``bits`` bits drawn from the whole fingerprint: array (row, block)."""
+    import numpy as np
+
+    rng = np.random.default_rng(ODD)
+    places = np.array([rng.choice(BITS, bits, replace=False) for _ in range(count)])
+    unpacked = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+    values = np.zeros((len(fps), count), np.uint64)
+    for k in range(bits):
+        values |= unpacked[:, places[:, k]].astype(np.uint64) << np.uint64(k)
+    return values
+
+
+def _blocks(bits: int, count: int):
     """``node, fp`` to ``bucket, turn, node, first, second``: block number and value, an order that differs by block, two fingerprint words."""
 
     def run(batches):
@@ -114,16 +134,10 @@ def _blocks(bits: int):
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 nodes = batch.column(0).to_numpy().view(np.uint64)
-                fps = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-                shifts = np.arange(0, 64, 64 * WORDS // BLOCKS, dtype=np.uint64)
-                wrapped = np.roll(fps, -1, axis=1)
-                parts = []
-                for s in shifts:
-                    low = fps >> s
-                    parts.append(low if s == 0 else low | (wrapped << (np.uint64(64) - s)))
-                values = np.stack(parts, axis=2).reshape(len(fps), -1) & np.uint64((1 << bits) - 1)
-                number = np.arange(values.shape[1], dtype=np.uint64)
-                bucket = values * np.uint64(BLOCKS) + number
+                fps = _fingerprints_of(batch.column(1))
+                values = block_values(fps, bits, count)
+                number = np.arange(count, dtype=np.uint64)
+                bucket = values * np.uint64(count) + number
                 turn = (nodes[:, None] ^ (number * np.uint64(ODD))) * np.uint64(0x94D049BB133111EB)
                 flat = lambda x: pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64))
                 wide = np.broadcast_to
@@ -289,10 +303,10 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     """``doc_id, component_id`` of every row: groups of texts that chains of similar pairs connect.
 
     Pairs link when their 1,024-bit fingerprints differ in no more bits than the similarity makes
-    expect (and half a deviation). They are found on 64 blocks of log2(documents) bits; a pair of
-    similarity s shares at least one with probability 1 - (1 - (1 - p)^bits)^64, p as in
-    ``expected_share``: at 2^18 documents 0.97 at s = 0.8 and over 0.999 at s = 0.85. Equal texts
-    are one node. Where many members of a bucket are close on two words, whole fingerprints link
+    expect (and half a deviation). They are found on blocks whose number follows from their bits, so
+    that a pair of the stated similarity shares at least one with probability ``MEET`` at every
+    number of documents. The distance is an estimate: about 0.69 of the pairs at exactly the
+    similarity are accepted. Equal texts are one node. Where many members of a bucket are close on two words, whole fingerprints link
     them. A bucket is compared whole up to ``part`` members; a larger one is dealt into parts,
     anew for every block, so its members meet in other blocks. Texts without words (null,
     empty) are one group; null ids and repeated rows are rows like any other, and a null id names
@@ -304,7 +318,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     bits = block_bits(nodes.count())
     p = expected_share(similarity)
     limit = math.floor(128 * p + PREVIEW_SLACK * math.sqrt(128 * p * (1 - p)))
-    blocks = nodes.select("node", "fp").mapInArrow(_blocks(bits), "bucket long, turn long, node long, first long, second long")
+    blocks = nodes.select("node", "fp").mapInArrow(_blocks(bits, block_count(bits, similarity)), "bucket long, turn long, node long, first long, second long")
     dealt = blocks.repartition("bucket").sortWithinPartitions("bucket", "turn")
     found = cut_lineage(dealt.mapInArrow(_near_in_buckets(limit, part), "bucket long, a long, b long"))
     candidates = found.where("b is not null").select("a", "b").distinct()

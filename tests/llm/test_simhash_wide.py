@@ -53,3 +53,22 @@ def test_pair_of_a_bucket_whose_previews_are_all_close(n):
         a, b = simhash_wide.spanning_forest(fps[dense], simhash_wide.most_bits(0.8))
         found |= {(dense[x] + 100, dense[y] + 100) for x, y in zip(a, b, strict=True)}
     assert (107, 112) in found and len(found) <= 12 * n
+
+
+@pytest.mark.parametrize("n", [12_000, 1 << 18, 1 << 24, 1 << 28])
+def test_pairs_meet_at_every_number_of_documents(n):
+    import pyarrow as pa
+
+    rng, pairs = np.random.default_rng(3), 1000
+    a = rng.integers(0, 2, (pairs, 1024), dtype=np.uint8)
+    b = a ^ (rng.random((pairs, 1024)) < simhash_wide.expected_share(0.8))
+    bits = simhash_wide.block_bits(n)
+    both = np.packbits(np.vstack([a, b]), axis=1, bitorder="little").view(np.int64)
+    batch = pa.RecordBatch.from_pydict({"node": np.arange(2 * pairs), "fp": pa.array(both.tolist(), pa.list_(pa.int64()))})
+    count = getattr(simhash_wide, "block_count", lambda *_: None)(bits, 0.8)
+    run = simhash_wide._blocks(*[bits, count][: 2 if count else 1])
+    buckets = [set() for _ in range(2 * pairs)]
+    for out in run([batch]):
+        for bucket, node in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
+            buckets[node].add(bucket)
+    assert sum(bool(buckets[i] & buckets[pairs + i]) for i in range(pairs)) >= 0.99 * pairs
