@@ -299,6 +299,60 @@ def _dealt(dense: DataFrame, nodes: DataFrame, part: int) -> DataFrame:
     return members.withColumn("part", piece).join(nodes.select("node", "fp"), "node").select("bucket", "part", "parts", "members", "node", "fp")
 
 
+def _crossings(most: int):
+    """``bucket, part, probe, node, root, fp`` in order of bucket, part and probe: links of probes with the part's members of other roots, one for each root."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        now, nodes, roots, fps, stale = None, [], [], [], True
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            probe, node, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            rows, pairs = _fingerprints_of(batch.column(5)), [np.zeros((2, 0), np.int64)]
+            for i, key in enumerate(keys):
+                if key != now:
+                    now, nodes, roots, fps = key, [], [], []
+                if not probe[i]:
+                    nodes.append(node[i])
+                    roots.append(root[i])
+                    fps.append(rows[i])
+                    stale = True
+                    continue
+                if stale:
+                    members = np.array(nodes, np.int64), np.array(roots, np.int64), np.array(fps, np.uint64).reshape(-1, WORDS)
+                    stale = False
+                near = np.bitwise_count(members[2] ^ rows[i]).sum(axis=1, dtype=np.int32) <= most
+                near = np.flatnonzero(near & (members[1] != root[i]))
+                if len(near):
+                    _, first = np.unique(members[1][near], return_index=True)
+                    other = members[0][near[first]]
+                    pairs.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])]))
+            x, y = np.concatenate(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    return run
+
+
+def _links_across_parts(members: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """Links between the parts of large buckets, so that with the links inside parts each bucket is compared whole.
+
+    ``known`` has the groups (``node, root``) that other links make. Members of a bucket's largest
+    group need not be compared with each other: the others are, with every part.
+    """
+    rooted = members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut_lineage(rooted)
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"), F.first("members").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.first("n").alias("n"))
+    others = attach(rooted, largest, "bucket", rooted.count()).where("root != main")
+    probes = others.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    columns = ["bucket", "part", "probe", "node", "root", "fp"]
+    both = rooted.withColumn("probe", F.lit(False)).select(columns).unionByName(probes.withColumn("probe", F.lit(True)).select(columns))
+    dealt = both.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "probe")
+    return dealt.mapInArrow(_crossings(most), "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """``doc_id, component_id`` of every row: groups of texts that chains of similar pairs connect.
 
@@ -306,11 +360,11 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     expect (and half a deviation). They are found on blocks whose number follows from their bits, so
     that a pair of the stated similarity shares at least one with probability ``MEET`` at every
     number of documents. The distance is an estimate: about 0.69 of the pairs at exactly the
-    similarity are accepted. Equal texts are one node. Where many members of a bucket are close on two words, whole fingerprints link
-    them. A bucket is compared whole up to ``part`` members; a larger one is dealt into parts,
-    anew for every block, so its members meet in other blocks. Texts without words (null,
-    empty) are one group; null ids and repeated rows are rows like any other, and a null id names
-    a group only if all its ids are null. An empty table gives an empty result.
+    similarity are accepted. Equal texts are one node. Where many members of a bucket are close on
+    two words, whole fingerprints link them. A bucket of over ``part`` members is dealt into parts;
+    members outside its largest group are then compared with all the parts. Texts without words
+    (null, empty) are one group; null ids and repeated rows are rows like any other, and a null id
+    names a group only if all its ids are null. An empty table gives an empty result.
     """
     printed = cut_lineage(wide_fingerprints(docs, shingle).withColumn("node", F.xxhash64("fp")))
     total = printed.count()
@@ -328,11 +382,17 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     most = most_bits(similarity)
     links = both.where(distance <= most).select("a", "b")
     dense = found.where("b is null").select("bucket", F.col("a").alias("node"))
+    large = None
     if not dense.isEmpty():
-        members = _dealt(dense, nodes, part).select("bucket", "part", "node", "fp").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-        links = links.unionByName(members.mapInArrow(_forests(most), "a long, b long")).distinct()
+        members = cut_lineage(_dealt(dense, nodes, part))
+        parts = members.select("bucket", "part", "node", "fp").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+        links = links.unionByName(parts.mapInArrow(_forests(most), "a long, b long")).distinct()
+        large = members.where("parts > 1")
     links = cut_lineage(links)
-    groups = cut_lineage(connected_components(links).join(nodes.select("node", "smallest"), "node"))
+    known = connected_components(links)
+    if large is not None and not large.isEmpty():
+        known = connected_components(cut_lineage(links.unionByName(_links_across_parts(large, cut_lineage(known), most))))
+    groups = cut_lineage(known.join(nodes.select("node", "smallest"), "node"))
     roots = groups.groupBy("root").agg(F.min("smallest").alias("least"), F.count(F.lit(1)).alias("n"))
     linked = attach(groups.select("node", "root"), roots, "root", groups.count()).select("node", "least", F.lit(True).alias("is_linked"))
     named = nodes.join(linked, "node", "left").select("node", F.when(F.col("is_linked"), F.col("least")).otherwise(F.col("smallest")).alias("component_id"), "n")

@@ -72,3 +72,12 @@ def test_pairs_meet_at_every_number_of_documents(n):
         for bucket, node in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
             buckets[node].add(bucket)
     assert sum(bool(buckets[i] & buckets[pairs + i]) for i in range(pairs)) >= 0.99 * pairs
+
+
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    fps = template_group(2, 600, 60)
+    got = groups_of(spark, monkeypatch, fps, part=8)
+    close = close_by_brute_force(fps, simhash_wide.most_bits(0.8))
+    met = [set(x.tolist()) for x in simhash_wide.block_values(fps, 14, 66) * np.uint64(66) + np.arange(66, dtype=np.uint64)]
+    want = roots(range(len(fps)), [(i, j) for i, j in close if met[i] & met[j]])
+    assert got == want
