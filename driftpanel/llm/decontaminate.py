@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftpanel.llm.tables import text_key
+
 #: Word offsets that a seed hashes.
 MASKS = ((0, 2, 3, 4, 5, 6), (0, 1, 2, 3, 6, 7))
 #: An aligned run of this many words (or the whole item, if shorter) is judged.
@@ -121,6 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap no test item, with all their columns."""
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("__llm_id"))
-    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(leaks["__llm_id"]), "left_anti")
+    """The rows of ``docs`` that overlap no test item, with all their columns; each text is judged on its own, whatever its id."""
+    texts = docs.select(text_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    leaks = contaminated(texts, benchmark).select(F.col("doc_id").alias("leak"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_key().alias("key"))
+    return rows.join(leaks, F.col("key") == F.col("leak"), "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

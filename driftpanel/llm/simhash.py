@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from driftpanel.llm.components import connected_components
-from driftpanel.llm.tables import attach, cut_lineage, repeated_once
+from driftpanel.llm.tables import attach, cut_lineage, first_of_groups
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -198,11 +198,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, once each; all columns are kept.
+    """One row of each group, that with the smallest id (see ``first_of_groups``); all columns are kept.
 
     Rows with a null id belong to groups like any other and stay only where no row has an id.
     """
-    groups = near_duplicates(docs, shingle, max_bits)
-    keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__llm_id")).distinct()
-    kept = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["__llm_id"]), "left_semi")
-    return repeated_once(kept)
+    return first_of_groups(docs, lambda texts: near_duplicates(texts, shingle, max_bits).select("doc_id", "component_id"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from driftpanel.llm.components import connected_components
-from driftpanel.llm.tables import attach, cut_lineage, repeated_once
+from driftpanel.llm.tables import attach, cut_lineage, first_of_groups
 
 WORDS = 16
 BITS = 64 * WORDS
@@ -400,7 +400,5 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 
 def first_of_each_group(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, once each; all columns are kept."""
-    groups = similar_groups(docs, shingle, similarity)
-    keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__llm_id")).distinct()
-    return repeated_once(docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["__llm_id"]), "left_semi"))
+    """One row of each group, that with the smallest id (see ``first_of_groups``); all columns are kept."""
+    return first_of_groups(docs, lambda texts: similar_groups(texts, shingle, similarity))

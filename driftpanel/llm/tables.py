@@ -13,7 +13,7 @@ HOT_KEYS = 64
 #: Stands for a null id where ids are ordered: null counts as the largest id.
 LAST_ID = (1 << 63) - 1
 
-__all__ = ["HOT_KEYS", "LAST_ID", "WORD", "attach", "cut_lineage", "hash60", "repeated_once"]
+__all__ = ["HOT_KEYS", "LAST_ID", "WORD", "attach", "cut_lineage", "first_of_groups", "hash60", "text_key"]
 
 
 def attach(rows: DataFrame, lookup: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
@@ -37,8 +37,24 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def repeated_once(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per ``key``: of rows that share it, the one whose text is smallest."""
-    order = Window.partitionBy(f"row.{key}").orderBy(F.col("row.text").asc_nulls_last())
-    turned = docs.select(F.struct(*docs.columns).alias("row")).withColumn("turn", F.row_number().over(order))
-    return turned.where("turn = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+def text_key() -> Column:
+    """64 bits of ``text`` (null counts as empty): judges rows whose ids are null or shared one by one."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def first_of_groups(docs: DataFrame, groups_of) -> DataFrame:
+    """One row of each group of texts: of its rows the one with the smallest id (null last), then the smallest text key; all columns are kept.
+
+    ``groups_of`` turns ``doc_id, text`` into ``doc_id, component_id``. It is given text keys as
+    ids, so that rows with null or shared ids are told apart. Rows equal in id and text stay once.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
+    groups = groups_of(docs.select(text_key().alias("doc_id"), F.col("text").cast("string").alias("text")))
+    groups = cut_lineage(groups.groupBy(F.col("doc_id").alias("key"), "component_id").agg(F.count(F.lit(1)).alias("n")))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    grouped = attach(rows.select("id", "key"), groups, "key", total)
+    keepers = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first"))
+    keepers = keepers.select(F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"))
+    turned = rows.withColumn("turn", F.row_number().over(Window.partitionBy("id", "key").orderBy("row.text"))).where("turn = 1")
+    kept = turned.join(keepers, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")), "left_semi")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from driftpanel.llm import simhash_wide
+from driftpanel.llm import decontaminate, simhash, simhash_wide
 from tests.llm.test_simhash import roots
 
 
@@ -81,3 +81,18 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch):
     met = [set(x.tolist()) for x in simhash_wide.block_values(fps, 14, 66) * np.uint64(66) + np.arange(66, dtype=np.uint64)]
     want = roots(range(len(fps)), [(i, j) for i, j in close if met[i] & met[j]])
     assert got == want
+
+
+def test_rows_with_null_or_shared_ids_are_judged_one_by_one(spark, documents):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    row = lambda i, k: (i, words(k), "en", "s", 3)
+    docs = documents(row(None, 1), row(None, 2), row(5, 3), row(5, 4), row(1, 4), row(None, 4), row(5, 3), row(None, 2), extra="key string, id string", values=("x", "y"))
+    want = sorted([(-1, words(1)), (-1, words(2)), (5, words(3)), (1, words(4))])
+    for module in (simhash_wide, simhash):
+        got = module.first_of_each_group(docs)
+        assert got.columns == docs.columns
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in got.collect()) == want
+    items = spark.createDataFrame([(0, words(2)), (1, words(3))], "item_id long, text string")
+    left = decontaminate.without_benchmark(docs, items)
+    assert left.columns == docs.columns
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in left.collect()) == sorted([(-1, words(1)), (5, words(4)), (1, words(4)), (-1, words(4))])
