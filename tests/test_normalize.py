@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conftest import SPEC, make_study
+from panel_data import SPEC, make_study
 from driftpanel.operators import normalize as norm
 
 EVENT_SCHEMA = (

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SPEC, make_study
+from panel_data import SPEC, make_study
 from driftpanel.functions.columns import propagate, state_label
 from driftpanel.operators.hmm import HmmModel
 from driftpanel.operators.sequences import build_sequences, contiguous_prefix, fit_scaler, landmark, log_rows, scale_rows

@@ -5,7 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SPEC, make_study
+from panel_data import SPEC, make_study
 from driftpanel.operators import quality
 from driftpanel.spec import FeatureSpec
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SPEC
+from panel_data import SPEC
 from driftpanel.functions import ranks
 from driftpanel.functions.hashing import draw32
 from driftpanel.functions.pvalues import correlation_p_value

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SPEC, make_study
+from panel_data import SPEC, make_study
 from driftpanel.operators.baseline import _penalty, _Fit, fit_baseline, fit_grid, predict_baseline
 from driftpanel.operators.states import occupancy_text, transition_summary
 from driftpanel.plans.analysis import run_analysis, run_full_analysis
