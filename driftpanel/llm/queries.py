@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from driftpanel.llm import cotraining, decontaminate, html_text, language, link_graph, mixing, quality_rules, simhash, sql, substrings, token_store, tokens
+from driftpanel.llm import conversations, cotraining, decontaminate, html_text, language, link_graph, mixing, quality_rules, simhash, sql, substrings, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_rules": op9_rules,
     "op10_urls": op10_urls,
     "op12_token_store": op12_token_store,
+    "op13_conversations": op13_conversations,
     "pipeline": corpus_pipeline.run,
 }
 

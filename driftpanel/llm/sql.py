@@ -148,3 +148,78 @@ ORACLES = {
     "op4_substrings": repeated_substrings(),
     "op10_urls": url_verdicts(),
 }
+
+#: Insertions from each state of the wanted roles: state, how many, state then, lines. Nothing yet 0, after s 1, after u 2, after a 3.
+CHAINS = ", ".join(
+    f"({state}, {m}, {([state, *path])[m]}, {lines[:m]!r}::VARCHAR[])"
+    for state, path, lines in (
+        (0, (2, 3), ["user:", "assistant:"]),
+        (1, (2, 3), ["user:", "assistant:"]),
+        (2, (3, 2), ["assistant:", "user:"]),
+        (3, (2, 3), ["user:", "assistant:"]),
+    )
+    for m in range(3)
+)
+CONVERSATIONS = rf"""
+WITH RECURSIVE chains(s, m, t, lines) AS (VALUES {CHAINS}),
+keyed AS (
+    SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+    FROM conversations
+),
+drawn AS (
+    SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda ch: ord(ch)::BIGINT)),
+        lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda x, j: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS draw
+    FROM keyed
+),
+hurt AS (
+    SELECT c, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM drawn
+),
+placed AS (
+    SELECT c, turn, role, text,
+        row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS i,
+        right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+    FROM hurt
+),
+faulty AS (
+    SELECT *, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) AS previous,
+        CASE WHEN last = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd'
+            WHEN last IN ('.', '!', '?') THEN '' ELSE 't' END AS fault
+    FROM placed
+),
+edits AS (
+    SELECT c, i, s, s AS t, 2 AS cost, 'D' AS letter, []::VARCHAR[] AS lines FROM faulty, range(4) AS states(s)
+    UNION ALL
+    SELECT c, i, s, t, CASE fault WHEN 't' THEN 5 ELSE 0 END, 'K', [role || ':' || text]
+    FROM faulty JOIN (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) AS follow(s, initial, t) USING (initial) WHERE fault IN ('', 't')
+    UNION ALL
+    SELECT c, i, s, t, CASE fault WHEN 't' THEN 6 ELSE 1 END, 'R', [lines[1] || text] FROM faulty, chains WHERE m = 1 AND fault IN ('', 't')
+),
+step(c, i, s, cost, audit, lines) AS (
+    SELECT c, 0::BIGINT, t, 5::BIGINT * m, repeat('I', m), lines FROM (SELECT DISTINCT c FROM placed), chains WHERE s = 0
+    UNION ALL
+    SELECT c, i, t, min(cost), arg_min(audit, (cost, audit)), arg_min(lines, (cost, audit)) FROM (
+        SELECT p.c, e.i, n.t, p.cost + e.cost + 5 * n.m AS cost, p.audit || e.letter || repeat('I', n.m) AS audit,
+            list_concat(list_concat(p.lines, e.lines), n.lines) AS lines
+        FROM step AS p JOIN edits AS e ON e.c = p.c AND e.i = p.i + 1 AND e.s = p.s JOIN chains AS n ON n.s = e.t
+    ) GROUP BY c, i, t
+),
+ends AS (SELECT c, max(i) AS i FROM placed GROUP BY c),
+best AS (
+    SELECT c, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(lines, (cost, audit)) AS lines
+    FROM step JOIN ends USING (c, i) WHERE s IN (0, 3) GROUP BY c
+),
+counts AS (
+    SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faulty GROUP BY c
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+    coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM keyed) LEFT JOIN counts USING (c) LEFT JOIN best USING (c)
+"""
+ORACLES["op13_conversations"] = CONVERSATIONS

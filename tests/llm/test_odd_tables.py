@@ -16,9 +16,10 @@ SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long, " + CLASHES,
     "benchmark": "item_id long, text string, n long, shift long, words string",
     "labels": "doc_id long, quality int, toxic int, n long",
+    "conversations": "conv_id long, turn long, role string, text string, block long, phase string, fault long, copies int",
     "pages": "page_id long, url string, html string, n long, host string, path string, src string",
 }
-ROWS = ("op3_mix", "op4_substrings", "op5_tokens", "op6_language", "op8_simhash", "op9_rules", "op2_quality")
+ROWS = ("op3_mix", "op4_substrings", "op5_tokens", "op6_language", "op8_simhash", "op9_rules", "op2_quality", "op12_token_store")
 
 
 def _documents(null_ids: bool):
@@ -42,6 +43,13 @@ def _write(spark, folder, null_ids: bool, empty: bool = False) -> str:
         "documents": docs,
         "benchmark": [(0, item, 1, 2, "w"), (1, item, None, None, None), (2, None, 1, 1, "w"), (3, "", 1, 1, "w"), (4, "too short", 1, 1, "w"), (5, item.replace("w1 ", "zz "), 1, 1, "w")],
         "labels": [(i, q, 0, 1) for i, q in [(1, 0), (2, 0), (3, None), (10, 1), (11, 1), (12, 1), (12, 0), (13, 1), (14, 0), (99, 1), (None, 1)]],
+        "conversations": [
+            (c, t, r, x, 1, "p", 2, 3)
+            for c, t, r, x in [
+                (None, None, None, None), (None, 0, "user", "a."), (None, 1, "assistant", "b"), (1, 0, "", ""), (1, 0, "user", " "), (1, 1, "user", "long. " * 20_000),
+                (1, 1, "user", "long. " * 20_000), (2, None, "system", "x!"), (2, 5, "user", "q?"), (2, 9, "assistant", "r."), (2, 9, "assistant", "s."), (3, 0, "user", "t"),
+            ]
+        ],
         "pages": [
             (0, None, None, 1, "h", "p", "s"), (1, "", "", 1, "h", "p", "s"), (2, "no scheme", "<p>text", None, None, None, None),
             (3, "http://A.Example.com/en/x?q#f", "<a href='http://spam.net/'>x</a><p>words and words", 1, "h", "p", "s"),
@@ -78,6 +86,8 @@ def test_odd_rows(spark, odd, name):
         assert ids == Counter(r[0] for r in _documents(null_ids=True))
     elif name in ("op7_html", "op10_urls"):
         assert ids == Counter([0, 1, 2, 3, 4, 4, 5, None])
+    elif name == "op13_conversations":
+        assert ids == Counter([None, 1, 2, 3])
     elif name == "op1_decontaminate":
         assert {38, 39, 40, 41, 42, 70, None} <= set(ids) and set(ids.values()) == {1}
     else:
