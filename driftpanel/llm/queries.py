@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from driftpanel.llm import conversations, cotraining, decontaminate, html_text, language, link_graph, mixing, quality_rules, simhash, sql, substrings, token_store, tokens
+from driftpanel.llm import collocations, conversations, cotraining, decontaminate, html_text, language, link_graph, mixing, quality_rules, simhash, sql, substrings, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_graph.judged(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digests(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_rules": op9_rules,
     "op10_urls": op10_urls,
+    "op11_collocations": op11_collocations,
     "op12_token_store": op12_token_store,
     "op13_conversations": op13_conversations,
     "pipeline": corpus_pipeline.run,

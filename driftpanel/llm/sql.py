@@ -223,3 +223,36 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
 FROM (SELECT DISTINCT c, conv_id FROM keyed) LEFT JOIN counts USING (c) LEFT JOIN best USING (c)
 """
 ORACLES["op13_conversations"] = CONVERSATIONS
+
+
+def phrases(least: int = 30, longest: int = 4, top: int = 2000) -> str:
+    """All phrases of up to four words, counted one by one; every cut of every candidate."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+runs AS (SELECT lang, w, i, unnest(range(1, least({longest}, len(w) - i + 1) + 1)) AS k FROM starts),
+counts AS MATERIALIZED (SELECT lang, w[i : i + k - 1] AS p, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= {least}),
+candidates AS MATERIALIZED (SELECT lang, p, f AS a FROM counts WHERE len(p) > 1),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM candidates),
+scores AS (
+    SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * c.a // (x.f + y.f) AS score
+    FROM cuts AS c JOIN counts AS x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN counts AS y ON y.lang = c.lang AND y.p = c.p[k + 1:]
+),
+best AS (SELECT lang, p, a, min(score) AS score, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r FROM scores GROUP BY lang, p, a),
+spans AS (SELECT lang, p, a, unnest(range(2, len(p))) AS size FROM candidates),
+inner_spans AS (SELECT lang, p, a, size, unnest(range(1, len(p) - size + 2)) AS i FROM spans),
+around AS (SELECT lang, p[i : i + size - 1] AS p, max(a) AS around FROM inner_spans GROUP BY ALL),
+ranked AS (
+    SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM best LEFT JOIN around USING (lang, p)
+    WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a
+)
+SELECT * FROM (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM ranked JOIN totals USING (lang)
+) WHERE rank <= {top}"""
+
+
+ORACLES["op11_collocations"] = phrases()
