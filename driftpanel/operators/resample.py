@@ -1,10 +1,12 @@
 """Exact bootstrap and permutation draws over a value-by-class profile.
 
 Work and shuffle do not grow with iterations times subjects. The profile (one row per
-distinct value) is cut into value-ordered buckets of bounded size. Each iteration first
-divides its draws over the buckets, then each bucket draws its own share, which is exactly a
-draw over everything. A bucket returns class sizes, rank sums, and squared ranks for each
-iteration; shifting those by the sizes of the lower buckets gives the global ranks.
+distinct value) is numbered in value order, and counts go down a binary tree over those numbers
+(``functions/sampling``): draws by binomial, class labels by hypergeometric splits, keyed by iteration
+and node. A task holds one range of values; it repeats the splits on the way from the root to its
+range, and then its own. So neither the size of a range nor the number of subjects changes a draw.
+A range returns class sizes, rank sums, and squared ranks for each iteration; shifting those by the
+sizes of the lower ranges gives the global ranks.
 """
 
 from __future__ import annotations
@@ -16,73 +18,55 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from driftpanel.functions.hashing import draw32
-from driftpanel.functions.ranks import with_buckets
+from driftpanel.functions import sampling
+from driftpanel.functions.ranks import running_totals
 from driftpanel.operators.stats import class_names
 
-BUCKET_VALUES = 65_536
-NUMBERED_DRAWS = 100_000  # up to this many draws are numbered hash draws, above they are drawn as cell counts
+BUCKET_VALUES = 65_536  # values of one range, a power of two
 CHUNK_CELLS = 2_000_000
 
+#: Sizes of the nodes from the root to a range: height above the range, subjects, subjects of the left half.
+Path = list[tuple[int, int, int]]
 
-def _bootstrap_weights(counts: np.ndarray, draws: np.ndarray, seed: int, iterations: np.ndarray, bucket: int) -> np.ndarray:
-    """``(iterations, values, classes)`` counts of draws with replacement from one bucket."""
-    size = int(counts.sum())
-    flat = counts.ravel()
-    out = np.empty((len(iterations), flat.size), dtype=np.int64)
-    ends = np.cumsum(flat)
-    for i, (iteration, n) in enumerate(zip(iterations, draws)):
-        if size == 0:
-            out[i] = 0
-        elif max(n, size) <= NUMBERED_DRAWS:
-            position = (draw32(seed + bucket, int(iteration), np.arange(n)) * np.uint64(size)) >> np.uint64(32)
-            out[i] = np.bincount(np.searchsorted(ends, position.astype(np.int64), side="right"), minlength=flat.size)
+
+def _paths(bucketed: DataFrame, size, heights: int) -> DataFrame:
+    """``range, path`` of every range: for each node above it ``h, size, left``, the root first."""
+    totals = bucketed.groupBy("bucket").agg(F.sum(size).alias("size"))
+    nodes = totals.select(F.explode(F.sequence(F.lit(0), F.lit(heights))).alias("h"), "bucket", "size")
+    nodes = nodes.groupBy("h", F.expr("shiftright(bucket, h)").alias("node")).agg(F.sum("size").alias("size"))
+    steps = totals.select("bucket", F.explode(F.sequence(F.lit(1), F.lit(heights))).alias("h")).withColumn("node", F.expr("shiftright(bucket, h)"))
+    lefts = nodes.where("node % 2 = 0").select((F.col("h") + 1).alias("h"), (F.col("node") / 2).cast("long").alias("node"), F.col("size").alias("left"))
+    found = steps.join(nodes, ["h", "node"]).join(lefts, ["h", "node"])
+    return found.groupBy(F.col("bucket").alias("range")).agg(F.sort_array(F.collect_list(F.struct("h", "size", "left")), asc=False).alias("path"))
+
+
+def _walk(kind: str, share: np.ndarray, path: Path, bucket: int, level: int, keys: np.ndarray) -> np.ndarray:
+    """What each iteration gives to a range of the whole ``share``; ``level`` is that of the ranges."""
+    for h, size, left in path:
+        node, went_left = np.array([bucket >> h]), (bucket >> (h - 1)) & 1 == 0
+        halves = np.array([left]), np.array([size - left])
+        if kind == "bootstrap":
+            to_left = sampling.left_draws(share[:, None], *halves, keys, sampling.node_keys(level + h, node))[:, 0]
         else:
-            rng = np.random.default_rng([seed, int(iteration), bucket])
-            out[i] = rng.multinomial(n, flat / size)
-    return out.reshape(len(iterations), *counts.shape)
+            to_left = sampling.left_labels(share[:, None, :], halves[0], keys, level + h, node)[:, 0]
+        share = to_left if went_left else share - to_left
+    return share
 
 
-def _permutation_weights(counts: np.ndarray, labels: np.ndarray, seed: int, iterations: np.ndarray, bucket: int) -> np.ndarray:
-    """Class labels (``labels`` per iteration and class) dealt at random over the bucket's values."""
+def _weights(kind: str, counts: np.ndarray, totals: list[int], path: Path, bucket: int, value_levels: int, seed: int, iterations: np.ndarray) -> np.ndarray:
+    """``(iterations, values, classes)`` counts that the iterations give to the values of one range."""
     values, classes = counts.shape
-    sizes = counts.sum(1)
-    total = int(sizes.sum())
-    out = np.zeros((len(iterations), values, classes), dtype=np.int64)
-    owner = np.repeat(np.arange(values), sizes) if total <= NUMBERED_DRAWS else None
-    for i, iteration in enumerate(iterations):
-        if owner is not None:
-            order = np.argsort(draw32(seed + bucket, int(iteration), np.arange(total)), kind="stable")
-            label = np.repeat(np.arange(classes), labels[i])
-            out[i] = np.bincount(owner[order] * classes + label, minlength=values * classes).reshape(values, classes)
-        else:
-            rng = np.random.default_rng([seed, int(iteration), bucket])
-            left = sizes.copy()
-            for c in range(classes - 1):
-                out[i, :, c] = rng.multivariate_hypergeometric(left, int(labels[i, c]), method="marginals")
-                left -= out[i, :, c]
-            out[i, :, -1] = left
-    return out
-
-
-def _bucket_share(kind: str, sizes: np.ndarray, seed: int, iterations: np.ndarray, bucket: int) -> np.ndarray:
-    """Draws (bootstrap) or class labels (permutation) that each iteration gives to one bucket."""
-    totals = sizes.sum(1)
-    if len(sizes) == 1:
-        return np.full(len(iterations), totals[0]) if kind == "bootstrap" else np.tile(sizes[0], (len(iterations), 1))
-    shares = []
-    for iteration in iterations:
-        rng = np.random.default_rng([seed, int(iteration)])
-        if kind == "bootstrap":
-            shares.append(rng.multinomial(int(totals.sum()), totals / totals.sum())[bucket])
-            continue
-        left, row = totals.copy(), []
-        for label_total in sizes.sum(0)[:-1]:
-            dealt = rng.multivariate_hypergeometric(left, int(label_total), method="marginals")
-            left = left - dealt
-            row.append(dealt[bucket])
-        shares.append([*row, left[bucket]])
-    return np.array(shares, dtype=np.int64)
+    keys = sampling.iteration_keys(seed, iterations)
+    if kind == "permutation":
+        labels = _walk(kind, np.tile(np.array(totals), (len(iterations), 1)), path, bucket, value_levels, keys)
+        return sampling.spread_labels(labels, counts.sum(1), value_levels, keys, bucket << value_levels)
+    # the classes of a value are the lowest levels of the tree
+    bits = (classes - 1).bit_length()
+    cells = np.zeros((values, 1 << bits), np.int64)
+    cells[:, :classes] = counts
+    levels = value_levels + bits
+    draws = _walk(kind, np.full(len(iterations), sum(totals)), path, bucket, levels, keys)
+    return sampling.spread_draws(draws, cells.ravel(), levels, keys, bucket << levels).reshape(len(iterations), values, -1)[:, :, :classes]
 
 
 def resample(profile: DataFrame, n_classes: int, kind: str, seed: int, iterations: int, precision: bool = False) -> DataFrame:
@@ -95,32 +79,34 @@ def resample(profile: DataFrame, n_classes: int, kind: str, seed: int, iteration
         raise ValueError(f"unknown kind of draw: {kind}")
     names = class_names(n_classes)
     profile = profile.select("value", *names)
-    n_buckets = 1 << math.ceil(math.log2(max(1.0, profile.count() / BUCKET_VALUES)))
+    summary = profile.agg(F.count(F.lit(1)).alias("values"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    totals = [int(summary[c]) for c in names]
+    value_levels = min(max(summary["values"] - 1, 0).bit_length(), BUCKET_VALUES.bit_length() - 1)
+    n_buckets = math.ceil(summary["values"] / (1 << value_levels)) or 1
     if n_buckets > 1:
-        bucketed = with_buckets(profile, "value", buckets=n_buckets, name="bucket")
+        numbered = running_totals(profile.withColumn("one", F.lit(1)), "value", ["one"])
+        bucketed = numbered.select("value", *names, F.expr(f"shiftright(cum_one - 1, {value_levels})").cast("long").alias("bucket"))
     else:
-        bucketed = profile.withColumn("bucket", F.lit(0))
-    # one row of class totals per bucket; buckets number distinct values / 65,536
-    sizes = np.zeros((n_buckets, n_classes), dtype=np.int64)
-    for row in bucketed.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).collect():
-        sizes[row.bucket] = [row[c] for c in names]
+        bucketed = profile.withColumn("bucket", F.lit(0).cast("long"))
     parallelism = profile.sparkSession.sparkContext.defaultParallelism
     n_blocks = max(1, min(math.ceil(parallelism / n_buckets), math.ceil(iterations / 16)))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
 
-    def draw(pdf: pd.DataFrame, bucket: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def draw(pdf: pd.DataFrame, path: Path, bucket: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         counts = pdf.sort_values("value")[names].to_numpy(np.int64)
         mine = np.arange(block, iterations, n_blocks)
         chunk = max(1, CHUNK_CELLS // max(1, counts.size))
         for begin in range(0, len(mine), chunk):
             part = mine[begin : begin + chunk]
-            share = _bucket_share(kind, sizes, seed, part, bucket)
-            weights = _bootstrap_weights if kind == "bootstrap" else _permutation_weights
-            yield part, weights(counts, share, seed, part, bucket)
+            yield part, _weights(kind, counts, totals, path, bucket, value_levels, seed, part)
 
-    def moments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def path_of(pdf: pd.DataFrame) -> Path:
+        return [(int(x["h"]), int(x["size"]), int(x["left"])) for x in pdf["path"].iloc[0]] if len(pdf) else []
+
+    def moments(key: tuple, pdf: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
         bucket, block = int(key[0]), int(key[1])
         frames = []
-        for part, w in draw(pdf, bucket, block):
+        for part, w in draw(pdf, path_of(paths), bucket, block):
             size = w.sum(2)
             mid = np.cumsum(size, axis=1) - size + (size + 1) / 2.0
             frame = {"iter": part, "bucket": bucket, "q": (size * mid * mid).sum(1)}
@@ -132,8 +118,15 @@ def resample(profile: DataFrame, n_classes: int, kind: str, seed: int, iteration
 
     columns = [f"{p}{c}" for c in range(n_classes) for p in "wr"]
     types = ", ".join(f"{c} {'long' if c[0] == 'w' else 'double'}" for c in columns)
-    blocks = bucketed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    parts = blocks.groupBy("bucket", "block").applyInPandas(moments, f"iter int, bucket int, q double, {types}")
+    blocks = bucketed.withColumn("block", every_block)
+    grouped = blocks.groupBy("bucket", "block")
+    schema = f"iter int, bucket long, q double, {types}"
+    if n_buckets > 1:
+        subjects = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+        paths = _paths(bucketed, subjects, (n_buckets - 1).bit_length()).withColumn("range_block", every_block)
+        parts = grouped.cogroup(paths.groupBy("range", "range_block")).applyInPandas(moments, schema)
+    else:
+        parts = grouped.applyInPandas(lambda key, pdf: moments(key, pdf, pd.DataFrame()), schema)
 
     # a window per iteration over its buckets, and a sum over them
     lower = Window.partitionBy("iter").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,7 +144,7 @@ def resample(profile: DataFrame, n_classes: int, kind: str, seed: int, iteration
         bucket, block = int(key[0]), int(key[1])
         offset = above.set_index("iter")
         frames = []
-        for part, w in draw(pdf, bucket, block):
+        for part, w in draw(pdf, path_of(above), bucket, block):
             start = offset.loc[part]
             tp = np.cumsum(w[:, ::-1, 1], axis=1) + start["tp"].to_numpy()[:, None]
             called = np.cumsum(w[:, ::-1].sum(2), axis=1) + start["called"].to_numpy()[:, None]
@@ -167,6 +160,10 @@ def resample(profile: DataFrame, n_classes: int, kind: str, seed: int, iteration
         F.coalesce(F.sum("w1").over(higher), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(size).over(higher), F.lit(0)).alias("called"),
     )
+    if n_buckets > 1:
+        above = above.join(paths, (F.col("bucket") == F.col("range")) & (F.col("block") == F.col("range_block"))).drop("range", "range_block")
+    else:
+        above = above.withColumn("path", F.expr("CAST(array() AS array<struct<h:int,size:bigint,left:bigint>>)"))
     gains = (
         blocks.groupBy("bucket", "block")
         .cogroup(above.groupBy("bucket", "block"))

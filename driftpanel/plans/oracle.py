@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from driftpanel.functions.hashing import MASK32, MIX_MULTIPLIER, mix32
+from driftpanel.functions.sampling import DRAW_BITS, LEVEL_BITS, MIX64, iteration_keys
 from driftpanel.plans.context import FIXED_MODEL, FIXED_TWO_STATE
 
 FEATURES = ("f_var", "f_peak", "f_rate", "f_pow4")
@@ -289,20 +289,78 @@ def mid_rank(value: str, partition: str = "") -> str:
     return f"(rank() OVER ({over}ORDER BY {value}) + (count(*) OVER ({peers}) - 1) / 2.0::DOUBLE)"
 
 
-def draw_tables(seed: int, iterations: int, source: str) -> dict[str, tuple[list[str], str]]:
-    """Numbered uniform draws ``iter, j, h`` for every row number of ``source``."""
-    base = int(mix32(np.uint64(seed)))
-    inner = ", ".join(f"({i}, {int(mix32(np.uint64(base + i)))})" for i in range(iterations))
-    step = f"(xor(x, x >> 16) * {MIX_MULTIPLIER}) & {MASK32}"
-    return {
-        "draw_start": (
-            [source],
-            f"SELECT v.iter, r.j, (v.inner_key::BIGINT + r.j) & {MASK32} AS x FROM (VALUES {inner}) AS v(iter, inner_key), (SELECT j FROM {source}) r",
+#: Levels of the draw tree in SQL: up to 2^30 distinct values.
+TREE_LEVELS = 30
+
+
+def _uniform(source: str, draw: int) -> str:
+    """``source`` with a column ``u``: the uniform number of (key, level, node, draw)."""
+    number = f"((((node << {LEVEL_BITS}) | level) << {DRAW_BITS}) | {draw})::UHUGEINT"
+    whole = "18446744073709551616::UHUGEINT"
+    text = f"SELECT *, ((key::UHUGEINT + {number}) % {whole})::UBIGINT AS h FROM ({source})"
+    for shift, factor in MIX64:
+        text = f"SELECT * REPLACE ((xor(h, h >> {shift})::UHUGEINT * {factor}::UHUGEINT % {whole})::UBIGINT AS h) FROM ({text})"
+    return f"SELECT * EXCLUDE (h), ((h >> 11)::DOUBLE + 0.5) * 1.1102230246251565e-16 AS u FROM ({text})"
+
+
+def _inverted(source: str, low: str, high: str, log_weight: str, sure: str, name: str, keep: list[str]) -> str:
+    """``source`` with a column ``name``: the least k whose cumulated probability exceeds ``u``, or ``sure`` where that is not null."""
+    names = ", ".join(keep)
+    listed = f"SELECT *, {sure} AS sure, unnest(CASE WHEN {sure} IS NULL THEN range({low}, {high} + 1) ELSE [0] END) AS k FROM ({source})"
+    weighed = f"SELECT *, CASE WHEN sure IS NULL THEN exp({log_weight}) ELSE 1 END AS weight FROM ({listed})"
+    summed = f"SELECT *, sum(weight) OVER (PARTITION BY iter, node ORDER BY k) AS below, sum(weight) OVER (PARTITION BY iter, node) AS whole, min(k) OVER (PARTITION BY iter, node) AS least FROM ({weighed})"
+    return f"SELECT {names}, CASE WHEN max(sure) IS NOT NULL THEN max(sure) ELSE max(least) + count(*) FILTER (below <= u * whole) END AS {name} FROM ({summed}) GROUP BY {names}"
+
+
+def tree_tables(kind: str, seed: int, iterations: int, classes: int, cells: str = "tree_cells", suffix: str = "") -> dict:
+    """``drawn{suffix}(iter, place, class, n)`` from ``tree_cells(value_no, class, size)``: draws or labels that the tree gives to each cell."""
+    bits = (classes - 1).bit_length() if kind == "bootstrap" else 0
+    place = f"(value_no << {bits}) | class" if bits else "value_no"
+    keys = ", ".join(f"({i}, {int(k)}::UBIGINT)" for i, k in enumerate(iteration_keys(seed, np.arange(iterations))))
+    tables = {
+        f"tree_sizes{suffix}": ([cells], f"SELECT level, p >> level AS node, sum(size)::BIGINT AS size FROM (SELECT {place} AS p, sum(size) AS size FROM {cells} GROUP BY ALL), range({TREE_LEVELS + bits + 1}) AS l(level) GROUP BY ALL"),
+        f"tree_halves{suffix}": (
+            [f"tree_sizes{suffix}"],
+            f"SELECT w.level, w.node, coalesce(a.size, 0) AS lsize, coalesce(b.size, 0) AS rsize FROM tree_sizes{suffix} w LEFT JOIN tree_sizes{suffix} a ON a.level = w.level - 1 AND a.node = 2 * w.node LEFT JOIN tree_sizes{suffix} b ON b.level = w.level - 1 AND b.node = 2 * w.node + 1 WHERE w.level > 0",
         ),
-        "draw_mid": (["draw_start"], f"SELECT iter, j, {step} AS x FROM draw_start"),
-        "draw_end": (["draw_mid"], f"SELECT iter, j, {step} AS x FROM draw_mid"),
-        "draws": (["draw_end"], "SELECT iter, j, xor(x, x >> 16) AS h FROM draw_end"),
+        f"tree_keys{suffix}": ([], f"SELECT * FROM (VALUES {keys}) AS v(iter, key)"),
     }
+    if kind == "bootstrap":
+        state = ["n"]
+        base = f"SELECT iter, key, {TREE_LEVELS + bits} AS level, 0::BIGINT AS node, (SELECT sum(size)::BIGINT FROM {cells}) AS n FROM tree_keys{suffix}"
+        keep = ["iter", "key", "level", "node", "n"]
+        joined = f"SELECT t.*, lsize, rsize FROM tree_walk{suffix} t JOIN tree_halves{suffix} USING (level, node) WHERE level > 0"
+        weight = "lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(lsize / (lsize + rsize)::DOUBLE) + (n - k) * ln(rsize / (lsize + rsize)::DOUBLE)"
+        split = _inverted(_uniform(joined, 0), "0", "n", weight, "CASE WHEN rsize = 0 THEN n WHEN lsize = 0 THEN 0 END", "n_left", keep)
+        children = f"SELECT iter, key, level - 1 AS level, 2 * node + side AS node, CASE side WHEN 0 THEN n_left ELSE n - n_left END AS n FROM ({split}), (VALUES (0), (1)) AS s(side)"
+        step = f"SELECT * FROM ({children}) WHERE n > 0"
+    else:
+        state = [f"l{c}" for c in range(classes)]
+        sums = ", ".join(f"sum(size) FILTER (class = {c})::BIGINT AS l{c}" for c in range(classes))
+        base = f"SELECT iter, key, {TREE_LEVELS} AS level, 0::BIGINT AS node, {', '.join(f'coalesce({x}, 0) AS {x}' for x in state)} FROM tree_keys{suffix}, (SELECT {sums} FROM {cells})"
+        text = f"SELECT t.*, lsize AS wanted, {' + '.join(state)} AS rest FROM tree_walk{suffix} t JOIN tree_halves{suffix} USING (level, node) WHERE level > 0"
+        keep = ["iter", "key", "level", "node", *state]
+        for c in range(classes - 1):
+            text = f"SELECT * REPLACE (rest - l{c} AS rest) FROM ({text})"
+            weight = (
+                f"lgamma(l{c} + 1) - lgamma(k + 1) - lgamma(l{c} - k + 1) + lgamma(rest + 1) - lgamma(wanted - k + 1) - lgamma(rest - wanted + k + 1)"
+                f" - lgamma(l{c} + rest + 1) + lgamma(wanted + 1) + lgamma(l{c} + rest - wanted + 1)"
+            )
+            sure = f"CASE WHEN l{c} = 0 OR wanted = 0 THEN 0 WHEN rest = 0 THEN wanted WHEN wanted = l{c} + rest THEN l{c} END"
+            have = [*keep, *[f"d{b}" for b in range(c)], "wanted", "rest"]
+            text = _inverted(_uniform(text, c), f"greatest(0, wanted - rest)", f"least(l{c}, wanted)", weight, sure, f"d{c}", have)
+            text = f"SELECT * REPLACE (wanted - d{c} AS wanted) FROM ({text})"
+        lefts = [*[f"d{c}" for c in range(classes - 1)], "wanted"]
+        sides = ", ".join(f"CASE side WHEN 0 THEN {d} ELSE {x} - {d} END AS {x}" for d, x in zip(lefts, state))
+        children = f"SELECT iter, key, level - 1 AS level, 2 * node + side AS node, {sides} FROM ({text}), (VALUES (0), (1)) AS s(side)"
+        step = f"SELECT * FROM ({children}) WHERE {' + '.join(state)} > 0"
+    tables[f"tree_walk{suffix}"] = ([f"tree_halves{suffix}", f"tree_keys{suffix}", cells], f"{base} UNION ALL {step}")
+    if kind == "bootstrap":
+        drawn = f"SELECT iter, node >> {bits} AS value_no, node & {(1 << bits) - 1} AS class, n FROM tree_walk{suffix} WHERE level = 0"
+    else:
+        drawn = f"SELECT iter, node AS value_no, class, n FROM (SELECT iter, node, unnest([{', '.join(state)}]) AS n, unnest(range({classes})) AS class FROM tree_walk{suffix} WHERE level = 0) WHERE n > 0"
+    tables[f"tree_drawn{suffix}"] = ([f"tree_walk{suffix}"], drawn)
+    return tables
 
 
 def compose(uses: Sequence[str], select: str, extra: dict[str, tuple[list[str], str]] | None = None) -> str:
@@ -322,5 +380,5 @@ def compose(uses: Sequence[str], select: str, extra: dict[str, tuple[list[str],
     if not ordered:
         return select
     # every fragment is read several times, so each is computed once
-    body = ", ".join(f"{name} AS MATERIALIZED ({known[name][1]})" for name in ordered)
-    return f"WITH {body} {select}"
+    body = ", ".join(f"{name} AS {'' if name.startswith('tree_walk') else 'MATERIALIZED '}({known[name][1]})" for name in ordered)
+    return f"WITH RECURSIVE {body} {select}"

@@ -12,7 +12,7 @@ from driftpanel.operators.baseline import fit_baseline, predict_baseline
 from driftpanel.operators.sequences import restrict
 from driftpanel.operators.states import occupancy
 from driftpanel.plans.analysis import as_metrics, landmark_vectors, score_metrics
-from driftpanel.plans.oracle import draw_tables, mid_rank, r6 as sql6
+from driftpanel.plans.oracle import mid_rank, r6 as sql6, tree_tables
 from driftpanel.plans.registry import query
 
 SEED = 42
@@ -116,37 +116,36 @@ def st12(ctx):
 # --- resampling -------------------------------------------------------------------------
 
 
+_TREE_CELLS = "SELECT value_no, class, count(*) AS size FROM (SELECT dense_rank() OVER (ORDER BY {value}) - 1 AS value_no, {cls} AS class FROM {source}) GROUP BY value_no, class"
+
+
 def _order_sources(source: str = "ranked_index", where: str = "") -> dict:
-    return {"positions": ([source, "test"], f"SELECT row_number() OVER (ORDER BY y, x) - 1 AS j, x, y FROM {source} {where}")}
+    return {
+        "positions": ([source, "test"], f"SELECT x, y FROM {source} {where}"),
+        "tree_cells": (["positions"], _TREE_CELLS.format(value="y", cls="x", source="positions")),
+    }
 
 
 _IN_TEST = "WHERE subject_id IN (SELECT subject_id FROM test)"
 
 
-def _bootstrap(seed: int, iterations: int, source: dict, suffix: str = "") -> dict:
-    draws = {k + suffix: ([d + suffix if d.startswith("draw_") else d for d in deps], sql.replace("draw_start", "draw_start" + suffix).replace("draw_mid", "draw_mid" + suffix).replace("draw_end", "draw_end" + suffix))
-             for k, (deps, sql) in draw_tables(seed, iterations, "positions").items()}
+def _draws(kind: str, seed: int, iterations: int, source: dict, name: str, suffix: str) -> dict:
+    """Correlations ``name`` of every iteration: the drawn cells back to rows, ranked and correlated."""
     rho = "CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END"
+    rows = f"SELECT iter, class AS x, value_no AS y FROM tree_drawn{suffix}, range(n)"
     return {
         **source,
-        **draws,
-        f"boot{suffix}": (
-            ["draws" + suffix, "positions"],
-            f"SELECT iter, {rho} AS rho FROM (SELECT iter, x, y, {mid_rank('x', 'iter')} AS rx, {mid_rank('y', 'iter')} AS ry FROM "
-            f"(SELECT d.iter, p.x, p.y FROM draws{suffix} d JOIN positions p ON p.j = (d.h * (SELECT count(*) FROM positions)) >> 32)) GROUP BY iter",
-        ),
+        **tree_tables(kind, seed, iterations, 4, suffix=suffix),
+        name: ([f"tree_drawn{suffix}"], f"SELECT iter, {rho} AS rho FROM (SELECT iter, x, y, {mid_rank('x', 'iter')} AS rx, {mid_rank('y', 'iter')} AS ry FROM ({rows})) GROUP BY iter"),
     }
 
 
-def _permutation(seed: int, iterations: int, source: dict, suffix: str = "_p") -> dict:
-    tables = _bootstrap(seed, iterations, source, suffix)
-    tables["dealt"] = (["positions"], "SELECT row_number() OVER (ORDER BY x) AS place, x FROM positions")
-    tables[f"null{suffix}"] = (
-        ["draws" + suffix, "positions", "dealt"],
-        f"SELECT iter, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS rho FROM (SELECT iter, x, y, {mid_rank('x', 'iter')} AS rx, {mid_rank('y', 'iter')} AS ry FROM "
-        f"(SELECT s.iter, l.x, s.y FROM (SELECT d.iter, p.y, row_number() OVER (PARTITION BY d.iter ORDER BY d.h, d.j) AS place FROM draws{suffix} d JOIN positions p USING (j)) s JOIN dealt l USING (place))) GROUP BY iter",
-    )
-    return tables
+def _bootstrap(seed: int, iterations: int, source: dict) -> dict:
+    return _draws("bootstrap", seed, iterations, source, "boot", "")
+
+
+def _permutation(seed: int, iterations: int, source: dict) -> dict:
+    return _draws("permutation", seed, iterations, source, "null_p", "_p")
 
 
 def _profile(ctx, index=None):
@@ -200,9 +199,9 @@ def ag20(ctx):
 
 
 _FORECAST_BOOT = {
-    "positions": (["forecasts"], "SELECT row_number() OVER (ORDER BY risk, target) - 1 AS j, risk, target FROM forecasts"),
-    **draw_tables(SEED + 10, FORECAST_DRAWS, "positions"),
-    "drawn": (["draws", "positions"], "SELECT d.iter, p.risk, p.target FROM draws d JOIN positions p ON p.j = (d.h * (SELECT count(*) FROM positions)) >> 32"),
+    "tree_cells": (["forecasts"], _TREE_CELLS.format(value="risk", cls="target", source="forecasts")),
+    **tree_tables("bootstrap", SEED + 10, FORECAST_DRAWS, 2),
+    "drawn": (["tree_drawn"], "SELECT iter, value_no AS risk, class AS target FROM tree_drawn, range(n)"),
     "drawn_auc": (
         ["drawn"],
         f"SELECT iter, {_AUC_SQL.format(rank='rk')} AS auc FROM (SELECT iter, target, {mid_rank('risk', 'iter')} AS rk FROM drawn) GROUP BY iter HAVING min(target) < max(target)",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panel_data import SPEC
 from driftpanel.functions import ranks
-from driftpanel.functions.hashing import draw32
+from driftpanel.functions import sampling
 from driftpanel.functions.pvalues import correlation_p_value
 from driftpanel.operators import ordering, resample as rs, stats
 from driftpanel.operators.partial import partial_spearman, residualise
@@ -125,43 +125,50 @@ def expand(weights, values, classes):
     return np.repeat(classes[c], times), np.repeat(values[v], times)
 
 
-def test_bootstrap_draws_equal_numbered_draws(spark):
-    y, s = binary(90)
-    profile = profile_of(spark, y, s, [0, 1])
-    got = resample(profile, 2, "bootstrap", 11, 25, precision=True).withColumn("auc", stats.auc_from_moments()).toPandas().set_index("iter")
-    order = np.lexsort((y, s))
-    y, s = y[order], s[order]
-    for i in range(25):
-        pick = ((draw32(11, i, np.arange(90)).astype(np.int64)) * 90) >> 32
-        assert got.loc[i, "auc"] == pytest.approx(brute_auc(y[pick], s[pick]))
-        assert got.loc[i, "ap"] == pytest.approx(brute_ap(y[pick], s[pick]))
+def drawn_weights(kind, y, s, seed, iterations):
+    """Distinct values and (iteration, value, class) counts by the whole tree at once."""
+    values, at = np.unique(s, return_inverse=True)
+    counts = np.zeros((len(values), 2), np.int64)
+    np.add.at(counts, (at, y), 1)
+    keys, levels = sampling.iteration_keys(seed, np.arange(iterations)), (len(values) - 1).bit_length()
+    if kind == "bootstrap":
+        cells = sampling.spread_draws(np.full(iterations, len(y)), counts.ravel(), levels + 1, keys, 0)
+        return values, cells.reshape(iterations, -1, 2)
+    return values, sampling.spread_labels(np.tile(counts.sum(0), (iterations, 1)), counts.sum(1), levels, keys, 0)
 
 
 @pytest.mark.parametrize("kind", ["bootstrap", "permutation"])
-@pytest.mark.parametrize("numbered", [0, 100_000])
-def test_many_buckets_give_the_statistics_of_the_drawn_rows(spark, monkeypatch, kind, numbered):
-    monkeypatch.setattr(rs, "BUCKET_VALUES", 40)
-    monkeypatch.setattr(rs, "NUMBERED_DRAWS", numbered)
+def test_statistics_are_those_of_the_drawn_rows_for_any_ranges(spark, monkeypatch, kind):
     y, s = binary(500, seed=8)
     profile = profile_of(spark, y, s, [0, 1])
-    n_buckets = 1 << int(np.ceil(np.log2(profile.count() / 40)))
-    assert n_buckets > 1
-    table = ranks.with_buckets(profile, "value", buckets=n_buckets).toPandas().sort_values("value")
-    groups = [table[table["_bucket"] == b] for b in range(n_buckets)]
-    sizes = np.array([g[["n0", "n1"]].sum().to_numpy() for g in groups])
-    got = resample(profile, 2, kind, 3, 6, precision=True).withColumn("auc", stats.auc_from_moments()).toPandas().set_index("iter")
-    for i in range(6):
-        weights = []
-        for b, g in enumerate(groups):
-            share = rs._bucket_share(kind, sizes, 3, np.array([i]), b)
-            draw = rs._bootstrap_weights if kind == "bootstrap" else rs._permutation_weights
-            weights.append(draw(g[["n0", "n1"]].to_numpy(np.int64), share, 3, np.array([i]), b)[0])
-        drawn_y, drawn_s = expand(np.concatenate(weights), table["value"].to_numpy(), np.array([0, 1]))
-        assert len(drawn_y) == 500
-        if kind == "permutation":
-            assert drawn_y.sum() == y.sum() and sorted(drawn_s) == sorted(s)
-        assert got.loc[i, "auc"] == pytest.approx(brute_auc(drawn_y, drawn_s))
-        assert got.loc[i, "ap"] == pytest.approx(brute_ap(drawn_y, drawn_s))
+    values, weights = drawn_weights(kind, y, s, 3, 6)
+    found = []
+    for bucket_values in (1 << 16, 32, 4):
+        monkeypatch.setattr(rs, "BUCKET_VALUES", bucket_values)
+        got = resample(profile, 2, kind, 3, 6, precision=True).withColumn("auc", stats.auc_from_moments())
+        found.append(got.toPandas().set_index("iter").sort_index())
+        for i in range(6):
+            drawn_y, drawn_s = expand(weights[i], values, np.array([0, 1]))
+            assert len(drawn_y) == 500
+            if kind == "permutation":
+                assert drawn_y.sum() == y.sum() and sorted(drawn_s) == sorted(s)
+            assert found[-1].loc[i, "auc"] == pytest.approx(brute_auc(drawn_y, drawn_s))
+            assert found[-1].loc[i, "ap"] == pytest.approx(brute_ap(drawn_y, drawn_s))
+    for other in found[1:]:
+        assert (other[["w0", "w1", "r0", "r1", "q"]] == found[0][["w0", "w1", "r0", "r1", "q"]]).all().all()
+
+
+@pytest.mark.parametrize("kind", ["bootstrap", "permutation"])
+def test_ten_to_the_tenth_subjects_by_counts(spark, monkeypatch, kind):
+    monkeypatch.setattr(rs, "BUCKET_VALUES", 4)
+    rows = [(float(v), 10**9 - 10**8 * (v % 3), 10**8 * (v % 3)) for v in range(10)]
+    profile = spark.createDataFrame(rows, "value double, n0 long, n1 long")
+    got = resample(profile, 2, kind, 5, 16).withColumn("auc", stats.auc_from_moments()).toPandas()
+    assert (got["w0"] + got["w1"] == 10**10).all() and got["w1"].nunique() == (1 if kind == "permutation" else 16)
+    n0, n1 = (np.array([r[k] for r in rows], float) for k in (1, 2))
+    below = np.cumsum(n0) - n0
+    expected = 0.5 if kind == "permutation" else (n1 * (below + n0 / 2)).sum() / (n0.sum() * n1.sum())
+    assert 0 < got["auc"].std() < 1e-4 and got["auc"].sub(expected).abs().max() < 1e-4
 
 
 def cohort(spark, index, n_per_arm=15):
