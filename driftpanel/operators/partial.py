@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftpanel.functions.lineage import cut_lineage
 from driftpanel.functions.ranks import attach, average_ranks
+from driftpanel.operators.absorption import absorb
 from driftpanel.operators.stats import spearman
 
+#: Indicator columns of the design in all; factors with more levels are absorbed.
+DENSE_LEVELS = 200
+
 
 def one_hot(column: str, levels: Sequence) -> list[Column]:
     """Indicators of all but the first level, in sorted order."""
@@ -47,32 +51,43 @@ def _demean(df: DataFrame, factor: str, columns: Sequence[str]) -> DataFrame:
 def residualise(df: DataFrame, targets: Sequence[str], numeric: Sequence[str], factors: Sequence[str]) -> DataFrame:
     """Replace ``targets`` by their residuals on [1, numeric, factor indicators], minimum-norm least squares.
 
-    The factor with the most levels is removed by level means, the others by indicator columns, which
-    gives the same residuals. A NULL level has no indicator: it counts as the first level. Rows with a
+    The factor with the most levels is removed by level means. The others become indicator columns where
+    they have up to ``DENSE_LEVELS`` levels in all, a number that is counted first; otherwise all factors that do not fit are
+    absorbed together with the widest (``absorption``), and no level reaches the driver. The residuals are the same
+    either way. A NULL level has no indicator: it counts as the first level. Rows with a
     NULL in ``targets`` or ``numeric`` are the caller's to leave out.
     """
     seen = df.agg(*[F.struct(F.count_distinct(f).alias("n"), F.min(f).alias("low")).alias(f) for f in factors]).first() if factors else {}
-    factors = [f for f in factors if seen[f].n > 0]
-    widest = max(factors, key=lambda f: seen[f].n, default=None)
+    factors = sorted((f for f in factors if seen[f].n > 0), key=lambda f: seen[f].n)
     df = df.withColumns({f: F.coalesce(F.col(f), F.lit(seen[f].low)) for f in factors})
     design = {f"_z{i}": F.col(c).cast("double") for i, c in enumerate(numeric)}
-    for f in factors:
-        if f != widest:
-            levels = [r[0] for r in df.select(f).distinct().collect()]
-            design.update({f"_d_{f}_{i}": c for i, c in enumerate(one_hot(f, levels))})
+    room = DENSE_LEVELS
+    while len(factors) > 1 and seen[factors[0]].n <= room:
+        f = factors.pop(0)
+        room -= seen[f].n
+        levels = [r[0] for r in df.select(f).distinct().collect()]
+        design.update({f"_d_{f}_{i}": c for i, c in enumerate(one_hot(f, levels))})
     table = df.withColumns({**design, **{t: F.col(t).cast("double") for t in targets}})
     names = list(design)
     spread = dict.fromkeys(names, 0.0)
     if names:
         before = table.agg(*[F.max(F.abs(c)).alias(c) for c in names]).first()
         spread = {c: before[c] or 0.0 for c in names}
-    if widest is not None:
-        table = _demean(table, widest, [*names, *targets])
+    if len(factors) == 1:
+        table = _demean(table, factors[0], [*names, *targets])
+    elif factors:
+        # centred columns of about unit size, so that the tolerance means the same for all
+        sizes = table.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in [*names, *targets]]).first()
+        scale = {c: (sizes[c].m or 0.0, sizes[c].s or 1.0) for c in [*names, *targets]}
+        table = cut_lineage(table.withColumns({c: (F.col(c) - m) / s for c, (m, s) in scale.items()}))
+        table = absorb(table, list(scale), factors)
+        table = cut_lineage(table.withColumns({c: F.col(c) * s for c, (_, s) in scale.items()}))
     if names:
         # centre and scale, so that the normal equations stay well conditioned
         stats = table.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in names]).first()
         # a column that is constant (within levels) has no spread beyond rounding and repeats the intercept
-        names = [c for c in names if stats[c].s is not None and stats[c].s > 1e-10 * spread[c]]
+        least = 1e-10 if len(factors) < 2 else 1e-7
+        names = [c for c in names if stats[c].s is not None and stats[c].s > least * spread[c]]
         table = table.withColumns({c: (F.col(c) - stats[c].m) / stats[c].s for c in names})
     columns = [F.lit(1.0), *[F.col(c) for c in names]]
     p = len(columns)
