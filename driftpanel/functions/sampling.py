@@ -7,6 +7,8 @@ work is divided, and counts of 10^10 cost no more than the spread of the distrib
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 # Fixed values of the 64-bit mixer.
@@ -27,6 +29,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def stage_seed(seed: int, *stage) -> int:
+    """A seed of its own for a named stage of a study."""
+    digest = hashlib.md5("|".join(map(str, (seed, *stage))).encode()).hexdigest()
+    return int(digest[:15], 16)
+
+
 def iteration_keys(seed: int, iterations: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix64(mix64(np.uint64(seed % (1 << 64))) + np.asarray(iterations, dtype=np.uint64))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftpanel.functions.sampling import stage_seed
 from driftpanel.operators.hmm import FitRequest, HmmModel, fit_many, prepare
 from driftpanel.operators.sequences import build_sequences, contiguous_prefix, fit_scaler, log_rows, restrict
 from driftpanel.spec import PanelSpec, study_options
@@ -92,9 +93,9 @@ def select_state_count(
     for k in candidates:
         for fold in (-1, *range(cv_folds)):
             if fold < 0:
-                options = study_options(k, seed + k * 101, restarts, n_iter)
+                options = study_options(k, stage_seed(seed, "states", k), restarts, n_iter)
             else:
-                options = study_options(k, seed + k * 1000 + fold, max(1, restarts - 1), fold_n_iter)
+                options = study_options(k, stage_seed(seed, "states", k, fold), max(1, restarts - 1), fold_n_iter)
             s = scalers[fold]
             requests.append(FitRequest(options, tuple(s.center), tuple(s.scale), None if fold < 0 else fold))
             labels.append((k, fold))

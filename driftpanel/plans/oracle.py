@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from driftpanel.functions.sampling import DRAW_BITS, LEVEL_BITS, MIX64, iteration_keys
+from driftpanel.operators.hmm import centre_key
 from driftpanel.plans.context import FIXED_MODEL, FIXED_TWO_STATE
 
 FEATURES = ("f_var", "f_peak", "f_rate", "f_pow4")
@@ -293,13 +294,20 @@ def mid_rank(value: str, partition: str = "") -> str:
 TREE_LEVELS = 30
 
 
+_WHOLE = "18446744073709551616::UHUGEINT"
+
+
+def mixed(source: str, column: str) -> str:
+    """``source`` with its unsigned ``column`` mixed as ``mix64`` does."""
+    for shift, factor in MIX64:
+        source = f"SELECT * REPLACE ((xor({column}, {column} >> {shift})::UHUGEINT * {factor}::UHUGEINT % {_WHOLE})::UBIGINT AS {column}) FROM ({source})"
+    return source
+
+
 def _uniform(source: str, draw: int) -> str:
     """``source`` with a column ``u``: the uniform number of (key, level, node, draw)."""
     number = f"((((node << {LEVEL_BITS}) | level) << {DRAW_BITS}) | {draw})::UHUGEINT"
-    whole = "18446744073709551616::UHUGEINT"
-    text = f"SELECT *, ((key::UHUGEINT + {number}) % {whole})::UBIGINT AS h FROM ({source})"
-    for shift, factor in MIX64:
-        text = f"SELECT * REPLACE ((xor(h, h >> {shift})::UHUGEINT * {factor}::UHUGEINT % {whole})::UBIGINT AS h) FROM ({text})"
+    text = mixed(f"SELECT *, ((key::UHUGEINT + {number}) % {_WHOLE})::UBIGINT AS h FROM ({source})", "h")
     return f"SELECT * EXCLUDE (h), ((h >> 11)::DOUBLE + 0.5) * 1.1102230246251565e-16 AS u FROM ({text})"
 
 
@@ -312,6 +320,32 @@ def _inverted(source: str, low: str, high: str, log_weight: str, sure: str, name
     return f"SELECT {names}, CASE WHEN max(sure) IS NOT NULL THEN max(sure) ELSE max(least) + count(*) FILTER (below <= u * whole) END AS {name} FROM ({summed}) GROUP BY {names}"
 
 
+def centre_tables(seed: int, restarts: int, states: int, rounds: int) -> dict:
+    """``centres(restart, k, x0..x3)``: rows that win the race by distance, then Lloyd steps, over the training rows of ``scaled``."""
+    columns = ", ".join(f"x{d}" for d in range(4))
+    keys = ", ".join(f"({r}, {step}, {int(centre_key(seed, r, step)[0])}::UBIGINT)" for r in range(restarts) for step in range(states))
+    rows = mixed("SELECT subject_id, pos, x0, x1, x2, x3, ('0x' || md5(subject_id)[1:16])::UBIGINT AS h FROM scaled WHERE subject_id IN (SELECT subject_id FROM train)", "h")
+    drawn = mixed(f"SELECT r.* EXCLUDE (h), restart, step, ((((h::UHUGEINT + pos::UHUGEINT) % {_WHOLE}) + key::UHUGEINT) % {_WHOLE})::UBIGINT AS u FROM ({rows}) r, (VALUES {keys}) AS v(restart, step, key)", "u")
+    apart = "(" + " + ".join(f"(r.x{d} - c.x{d}) * (r.x{d} - c.x{d})" for d in range(4)) + ")"
+    tables = {"race": (["scaled", "train"], f"SELECT *, -ln(((u >> 11)::DOUBLE + 0.5) * 1.1102230246251565e-16) AS wait FROM ({drawn})")}
+    won = ", ".join(f"arg_min(r.x{d}, r.wait) AS x{d}" for d in range(4))
+    tables["picked0"] = (["race"], f"SELECT restart, 0 AS k, {won} FROM race r WHERE step = 0 GROUP BY restart")
+    for step in range(1, states):
+        near = f"SELECT r.restart, r.subject_id, r.pos, r.x0, r.x1, r.x2, r.x3, any_value(r.wait) / greatest(min({apart}), 1e-300) AS wait FROM race r JOIN picked{step - 1} c USING (restart) WHERE r.step = {step} GROUP BY ALL"
+        near = near.replace("SELECT r.restart", "SELECT restart").replace("GROUP BY ALL", "GROUP BY restart, r.subject_id, r.pos, r.x0, r.x1, r.x2, r.x3")
+        tables[f"picked{step}"] = (["race", f"picked{step - 1}"], f"SELECT * FROM picked{step - 1} UNION ALL SELECT restart, {step}, {won} FROM ({near}) r GROUP BY restart")
+    last = f"picked{states - 1}"
+    for i in range(rounds):
+        label = f"SELECT restart, r.subject_id, r.pos, arg_min(c.k, ({apart}, c.k)) AS k FROM race r JOIN {last} c USING (restart) WHERE r.step = 0 GROUP BY restart, r.subject_id, r.pos"
+        means = ", ".join(f"avg(r.x{d}) AS x{d}" for d in range(4))
+        moved = f"SELECT l.restart, l.k, {means} FROM ({label}) l JOIN race r ON r.restart = l.restart AND r.subject_id = l.subject_id AND r.pos = l.pos AND r.step = 0 GROUP BY l.restart, l.k"
+        kept = ", ".join(f"coalesce(m.x{d}, c.x{d}) AS x{d}" for d in range(4))
+        tables[f"lloyd{i}"] = ([last], f"SELECT c.restart, c.k, {kept} FROM {last} c LEFT JOIN ({moved}) m USING (restart, k)")
+        last = f"lloyd{i}"
+    tables["centres"] = ([last], f"SELECT restart, k, {columns} FROM {last}")
+    return tables
+
+
 def tree_tables(kind: str, seed: int, iterations: int, classes: int, cells: str = "tree_cells", suffix: str = "") -> dict:
     """``drawn{suffix}(iter, place, class, n)`` from ``tree_cells(value_no, class, size)``: draws or labels that the tree gives to each cell."""
     bits = (classes - 1).bit_length() if kind == "bootstrap" else 0

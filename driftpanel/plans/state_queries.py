@@ -27,7 +27,7 @@ from driftpanel.operators.sequences import build_sequences, contiguous_prefix, f
 from driftpanel.operators.split import assign_folds, rebalance_arms, split_subjects, stratified_pick
 from driftpanel.operators.stats import threshold_counts
 from driftpanel.plans.context import FIXED_MODEL, FIXED_TWO_STATE
-from driftpanel.plans.oracle import FEATURES, mid_rank, r6 as sql6
+from driftpanel.plans.oracle import FEATURES, centre_tables, mid_rank, r6 as sql6
 from driftpanel.plans.registry import query
 from driftpanel.spec import study_options
 
@@ -287,14 +287,16 @@ def _request(ctx, **changes):
     return FitRequest(replace(study_options(3, 42, 3), **changes), tuple(s.center), tuple(s.scale))
 
 
-@query("hm3_initial_centres")
+@query("hm3_initial_centres", ["centres"],
+       " UNION ALL ".join(f"SELECT CAST(restart AS INTEGER) AS restart, CAST(k AS INTEGER) AS state, '{f}' AS feature, {sql6(f'x{d}')} AS mean FROM centres" for d, f in enumerate(FEATURES)),
+       extra=centre_tables(42, 3, 3, hmm.LLOYD_STEPS))
 def hm3(ctx):
     """Seeded centres after the Lloyd steps, per restart."""
     table = _fit_table(ctx)
     runs = [hmm._Run(i, _request(ctx), i) for i in range(3)]
     hmm._initialise(table, runs)
     rows = [(r.restart, k, f, float(r.model.means[k, d])) for r in runs for k in range(3) for d, f in enumerate(FEATURES)]
-    return ctx.spark.createDataFrame(rows, "restart int, state int, feature string, mean double")
+    return ctx.spark.createDataFrame(rows, "restart int, state int, feature string, mean double").withColumn("mean", r6("mean"))
 
 
 _WEIGHTED_PATHS = {
@@ -465,6 +467,47 @@ def hm15_transitions(ctx):
     return steps.select("from_state", "to_state", r6(F.col("n") / total).alias("p"))
 
 
+_ORDERED = {
+    **_WEIGHTED_PATHS,
+    "em_means": (["moment_sums"], "SELECT k, d, s / w AS v FROM moment_sums"),
+    "em_order": (["em_means"], "SELECT k, row_number() OVER (ORDER BY avg(v), k) - 1 AS severity FROM em_means GROUP BY k"),
+    "em_steps": (
+        ["step_sums", "em_order"],
+        "SELECT a.severity AS i, b.severity AS j, (v + 0.25) / sum(v + 0.25) OVER (PARTITION BY s.i) AS p FROM step_sums s JOIN em_order a ON s.i = a.k JOIN em_order b ON s.j = b.k",
+    ),
+}
+
+
+def _updated_tables(ctx):
+    """Parameter tables of the fixed model after one update on the train subjects, in severity order."""
+    run = hmm._Run(0, _request(ctx), 0, model=hmm.HmmModel(FIXED_MODEL.start, FIXED_MODEL.trans, FIXED_MODEL.means, FIXED_MODEL.covars))
+    run.pooled = np.ones(len(FEATURES))
+    hmm._update(run, hmm._pass(_fit_table(ctx), [run], hmm._expect)[0])
+    return st.parameter_tables(ctx.sequences, run.model, st.severity_order(run.model, ctx.spec.features), ctx.spec)
+
+
+@query("hm15_parameter_tables", ["start_sums", "em_steps", "em_means", "em_order"],
+       f"SELECT 'start' AS parameter, CAST(severity AS INTEGER) AS state, 'state' AS target, {sql6('(v + 0.1) / (SELECT sum(v + 0.1) FROM start_sums)')} AS value FROM start_sums JOIN em_order USING (k) "
+       f"UNION ALL SELECT 'transition', CAST(i AS INTEGER), CAST(j AS VARCHAR), {sql6('p')} FROM em_steps "
+       "UNION ALL " + " UNION ALL ".join(f"SELECT 'emission', CAST(severity AS INTEGER), '{f}', {sql6('v')} FROM em_means JOIN em_order USING (k) WHERE d = {d}" for d, f in enumerate(FEATURES)),
+       extra=_ORDERED)
+def hm15_parameters(ctx):
+    """Start, transition, and emission tables in severity order, from an updated model."""
+    tables = _updated_tables(ctx)
+    start = tables["start"].select(F.lit("start").alias("parameter"), "state", F.lit("state").alias("target"), F.col("p").alias("value"))
+    steps = tables["transition"].select(F.lit("transition").alias("parameter"), F.col("from_state").alias("state"), F.col("to_state").cast("string").alias("target"), F.col("p").alias("value"))
+    means = tables["emission"].select(F.lit("emission").alias("parameter"), "state", F.col("feature").alias("target"), F.col("mean").alias("value"))
+    return start.union(steps).union(means).withColumn("value", r6("value"))
+
+
+@query("hm15_transition_wide", ["em_steps"],
+       "SELECT 'from_state_' || i AS from_state, " + ", ".join(f"{sql6(f'max(p) FILTER (WHERE j = {j})')} AS to_state_{j}" for j in range(_K)) + " FROM em_steps GROUP BY i", extra=_ORDERED)
+def hm15_wide(ctx):
+    """The transition matrix as one row per state."""
+    wide = st.transition_wide(_updated_tables(ctx)["transition"], _K)
+    return wide.withColumns({f"to_state_{j}": r6(f"to_state_{j}") for j in range(_K)})
+
+
 @query("hm16_control_only_refit")
 def hm16(ctx):
     """Fit on the control arm, decode everyone, repeat the order test."""
