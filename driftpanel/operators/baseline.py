@@ -23,6 +23,8 @@ from driftpanel.operators.stats import average_precision
 # Fixed grid: inverse regularisation strengths and l1 shares.
 GRID_C = tuple(float(c) for c in np.logspace(-4, 4, 8))
 GRID_L1 = (0.1, 0.5, 0.9)
+#: A fit has settled when no coefficient has further to go.
+CONVERGED = 1e-6
 
 
 @dataclass
@@ -111,6 +113,27 @@ def fit_grid(table: DataFrame, grid: Sequence[tuple[float, float, int]], n_featu
     return [f.beta for f in fits]
 
 
+def violations(table: DataFrame, grid: Sequence[tuple[float, float, int]], betas: Sequence[np.ndarray]) -> DataFrame:
+    """``c, l1, fold, coefficient, beta, violation``: how far each coefficient is from the conditions of an optimum.
+
+    One more pass sums gradient and curvature at the coefficients. At an optimum the penalised gradient is 0 where
+    a coefficient is not, and within the lasso's share where it is; what is beyond is divided by the curvature, so that it
+    is about the step still to go.
+    """
+    fits = [_Fit(c, l1, fold, beta, beta) for (c, l1, fold), beta in zip(grid, betas, strict=True)]
+    rows = []
+    for i, row in sorted(_sums(table, fits).items()):
+        f = fits[i]
+        n = len(f.beta)
+        ridge, lasso = np.full(n, 1.0 - f.l1), np.full(n, f.l1)
+        ridge[0] = lasso[0] = 0.0
+        slope = f.c * row[1 : 1 + n] + ridge * f.beta
+        beyond = np.where(f.beta != 0, np.abs(slope + lasso * np.sign(f.beta)), np.maximum(np.abs(slope) - lasso, 0.0))
+        far = beyond / np.maximum(1.0, f.c * np.diag(row[1 + n :].reshape(n, n)) + ridge)
+        rows += [(f.c, f.l1, f.fold, j, float(f.beta[j]), float(far[j])) for j in range(n)]
+    return table.sparkSession.createDataFrame(rows, "c double, l1 double, fold int, coefficient int, beta double, violation double")
+
+
 def target_folds(landmarks: DataFrame, folds: int, seed: int) -> DataFrame:
     """Deal subjects into folds in hash order within each target class."""
     keyed = landmarks.withColumn("_key", order_key(seed, "baseline"))
@@ -144,6 +167,28 @@ class Baseline:
     beta: np.ndarray
     n_train: int
     cv_scores: dict[tuple[float, float], float]
+    violation: float = 0.0  # the largest of all fits of the grid
+
+    @property
+    def converged(self) -> bool:
+        return self.violation <= CONVERGED
+
+
+def fold_table(landmarks: DataFrame, folds: int, seed: int) -> DataFrame:
+    """``subject_id, x, y, fold``, spread evenly and kept for the passes of a fit."""
+    parallelism = landmarks.sparkSession.sparkContext.defaultParallelism
+    table = target_folds(landmarks.select("subject_id", "x", "y"), folds, seed).repartition(parallelism, "subject_id")
+    return cut_lineage(table).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_candidates(table: DataFrame, folds: int, grid_c: Sequence[float] = GRID_C, grid_l1: Sequence[float] = GRID_L1):
+    """Candidates (C, l1 share), the grid (C, l1 share, held-out fold) of all fits, and their coefficients."""
+    first = table.select(F.size("x")).first()
+    if first is None:
+        raise ValueError("no training subject has a landmark session and a known target")
+    candidates = [(c, l1) for c in grid_c for l1 in grid_l1]
+    grid = [(c, l1, fold) for fold in (-1, *range(folds)) for c, l1 in candidates]
+    return candidates, grid, fit_grid(table, grid, first[0])
 
 
 def fit_baseline(
@@ -154,22 +199,16 @@ def fit_baseline(
     grid_l1: Sequence[float] = GRID_L1,
 ) -> Baseline:
     """Cross-validated fit over ``subject_id, x, y`` of the train subjects with a known target."""
-    parallelism = landmarks.sparkSession.sparkContext.defaultParallelism
-    table = cut_lineage(target_folds(landmarks.select("subject_id", "x", "y"), folds, seed).repartition(parallelism, "subject_id"))
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    table = fold_table(landmarks, folds, seed)
     try:
-        first = table.select(F.size("x")).first()
-        if first is None:
-            raise ValueError("no training subject has a landmark session and a known target")
-        candidates = [(c, l1) for c in grid_c for l1 in grid_l1]
-        grid = [(c, l1, fold) for fold in (-1, *range(folds)) for c, l1 in candidates]
-        betas = fit_grid(table, grid, first[0])
+        candidates, grid, betas = fit_candidates(table, folds, grid_c, grid_l1)
+        worst = violations(table, grid, betas).agg(F.max("violation")).first()[0]
         scores = {r.candidate: r.score for r in _fold_scores(table, grid, betas, len(candidates)).collect()}
         best = max(range(len(candidates)), key=lambda i: (scores.get(i) if scores.get(i) is not None else -1.0, -i))
         n_train = table.count()
     finally:
         table.unpersist()
-    return Baseline(*candidates[best], betas[best], n_train, {candidates[i]: s for i, s in scores.items()})
+    return Baseline(*candidates[best], betas[best], n_train, {candidates[i]: s for i, s in scores.items()}, worst)
 
 
 def predict_baseline(landmarks: DataFrame, baseline: Baseline) -> DataFrame:

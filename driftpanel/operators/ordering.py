@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftpanel.functions.columns import arm_rank, hour_of_day
 from driftpanel.functions.lineage import cut_lineage
+from driftpanel.functions.sampling import stage_seed
 from driftpanel.operators.hmm import FitRequest, fit_many, prepare
 from driftpanel.operators.partial import partial_spearman
 from driftpanel.operators.resample import resample
@@ -65,7 +66,7 @@ def primary_test(
     profile = cut_lineage(arm_profile(with_arm(index, outcomes), spec))
     observed = rank_moments(profile, n).select(size_from_moments(n).alias("n"), rho_from_moments(n).alias("rho"))
     interval = percentile_interval(rho_draws(profile, spec, "bootstrap", seed, bootstrap), "rho")
-    null = null_summary(rho_draws(profile, spec, "permutation", seed + 1, permutations), observed)
+    null = null_summary(rho_draws(profile, spec, "permutation", stage_seed(seed, "permutation"), permutations), observed)
     return observed.crossJoin(F.broadcast(interval)).crossJoin(F.broadcast(null))
 
 

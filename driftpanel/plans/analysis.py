@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftpanel.functions.lineage import cut_lineage
+from driftpanel.functions.sampling import stage_seed
 from driftpanel.functions.pvalues import p_value
 from driftpanel.operators import behavior as behave
 from driftpanel.operators import ordering, quality, stats
@@ -152,13 +153,13 @@ def run_analysis(
     baseline_predictions = cut_lineage(predict_baseline(restrict(vectors, test), baseline))
 
     primary = ordering.primary_test(index, outcomes, spec, seed, rho_iterations, permutations)
-    held_out = ordering.primary_test(restrict(index, test), outcomes, spec, seed + 500, rho_iterations, permutations)
+    held_out = ordering.primary_test(restrict(index, test), outcomes, spec, stage_seed(seed, "held out"), rho_iterations, permutations)
     adjusted = ordering.covariate_adjusted(index, outcomes, usable, spec)
     refit = ordering.control_only_refit(
-        usable, outcomes, spec, k, seed + 2, restarts, n_iter, rho_iterations, permutations
+        usable, outcomes, spec, k, stage_seed(seed, "control refit"), restarts, n_iter, rho_iterations, permutations
     )
     left_out = ordering.leave_one_arm_out(index, outcomes, spec)
-    draws = cut_lineage(ordering.forecast_draws(forecasts, seed + 10, bootstrap_iterations))
+    draws = cut_lineage(ordering.forecast_draws(forecasts, stage_seed(seed, "forecast"), bootstrap_iterations))
 
     forecast_metrics, baseline_metrics = score_metrics(forecasts), score_metrics(baseline_predictions)
     winners = behave.compare_models(as_metrics(forecast_metrics, "f"), as_metrics(baseline_metrics, "b"))

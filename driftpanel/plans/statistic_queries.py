@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from driftpanel.functions.columns import r6
 from driftpanel.functions.lineage import cut_lineage
+from driftpanel.functions.sampling import stage_seed
 from driftpanel.operators import behavior as behave
 from driftpanel.operators import ordering, stats
-from driftpanel.operators.baseline import fit_baseline, predict_baseline
+from driftpanel.operators.baseline import GRID_C, GRID_L1, Baseline, fit_baseline, fit_candidates, fold_table, predict_baseline, violations
 from driftpanel.operators.sequences import restrict
 from driftpanel.operators.states import occupancy
 from driftpanel.plans.analysis import as_metrics, landmark_vectors, score_metrics
@@ -157,14 +159,14 @@ def st5(ctx):
     return ordering.rho_draws(_profile(ctx), ctx.spec, "bootstrap", SEED, RHO_DRAWS).withColumn("rho", r6("rho"))
 
 
-@query("st6_permutation_rho", ["null_p"], f"SELECT CAST(iter AS INTEGER) AS iter, {sql6('rho')} AS rho FROM null_p", extra=_permutation(SEED + 1, PERMUTATIONS, _order_sources()))
+@query("st6_permutation_rho", ["null_p"], f"SELECT CAST(iter AS INTEGER) AS iter, {sql6('rho')} AS rho FROM null_p", extra=_permutation(stage_seed(SEED, "permutation"), PERMUTATIONS, _order_sources()))
 def st6(ctx):
-    return ordering.rho_draws(_profile(ctx), ctx.spec, "permutation", SEED + 1, PERMUTATIONS).withColumn("rho", r6("rho"))
+    return ordering.rho_draws(_profile(ctx), ctx.spec, "permutation", stage_seed(SEED, "permutation"), PERMUTATIONS).withColumn("rho", r6("rho"))
 
 
 def _primary_sql(seed: int, where: str) -> tuple[dict, str]:
     source = _order_sources(where=where)
-    tables = {**_bootstrap(seed, RHO_DRAWS, source), **_permutation(seed + 1, PERMUTATIONS, source)}
+    tables = {**_bootstrap(seed, RHO_DRAWS, source), **_permutation(stage_seed(seed, "permutation"), PERMUTATIONS, source)}
     tables["seen"] = (["positions"], f"SELECT count(*) AS n, corr(rx, ry) AS rho FROM (SELECT {mid_rank('x')} AS rx, {mid_rank('y')} AS ry FROM positions)")
     select = (
         f"SELECT s.n, {sql6('s.rho')} AS rho, b.n_draws, {sql6('b.ci_low')} AS ci_low, {sql6('b.ci_high')} AS ci_high, p.n_permutations, {sql6('p.null_mean')} AS null_mean, {sql6('p.null_sd')} AS null_sd, {sql6('p.one_sided_p')} AS one_sided_p "
@@ -188,7 +190,7 @@ def _primary(name: str, seed: int, held_out: bool):
 
 
 _primary("st6_order_test", SEED, held_out=False)
-_primary("st13_held_out_order_test", SEED + 500, held_out=True)
+_primary("st13_held_out_order_test", stage_seed(SEED, "held out"), held_out=True)
 
 
 @query("ag20_percentile_interval", ["boot"],
@@ -200,7 +202,7 @@ def ag20(ctx):
 
 _FORECAST_BOOT = {
     "tree_cells": (["forecasts"], _TREE_CELLS.format(value="risk", cls="target", source="forecasts")),
-    **tree_tables("bootstrap", SEED + 10, FORECAST_DRAWS, 2),
+    **tree_tables("bootstrap", stage_seed(SEED, "forecast"), FORECAST_DRAWS, 2),
     "drawn": (["tree_drawn"], "SELECT iter, value_no AS risk, class AS target FROM tree_drawn, range(n)"),
     "drawn_auc": (
         ["drawn"],
@@ -218,7 +220,7 @@ _FORECAST_BOOT = {
        f"SELECT CAST(i.iter AS INTEGER) AS iter, {sql6('a.auc')} AS roc_auc, CASE WHEN a.auc IS NOT NULL THEN {sql6('p.ap')} END AS average_precision FROM (SELECT DISTINCT iter FROM drawn) i LEFT JOIN drawn_auc a USING (iter) LEFT JOIN drawn_ap p USING (iter)",
        extra=_FORECAST_BOOT)
 def st7(ctx):
-    return ordering.forecast_draws(ctx.forecasts, SEED + 10, FORECAST_DRAWS).withColumns({c: r6(c) for c in ("roc_auc", "average_precision")})
+    return ordering.forecast_draws(ctx.forecasts, stage_seed(SEED, "forecast"), FORECAST_DRAWS).withColumns({c: r6(c) for c in ("roc_auc", "average_precision")})
 
 
 # --- adjustment -------------------------------------------------------------------------
@@ -298,6 +300,25 @@ def st15(ctx):
     return score_metrics(predictions).crossJoin(F.broadcast(chosen))
 
 
+@query("st15_optimality", [], "SELECT c, l1, 0.0::DOUBLE AS violation, 6 * 5::BIGINT AS n_coefficients FROM (VALUES "
+       + ", ".join(f"({c!r}::DOUBLE)" for c in GRID_C) + ") AS a(c), (VALUES " + ", ".join(f"({r!r}::DOUBLE)" for r in GRID_L1) + ") AS b(l1)")
+def st15_optimality(ctx):
+    """The largest violation of the conditions of an optimum over the six fits of each candidate, at six places: 0 at every optimum."""
+    vectors = cut_lineage(landmark_vectors(ctx.usable, ctx.outcomes, ctx.scaler, ctx.spec))
+    table = fold_table(restrict(vectors, ctx.train), 5, SEED)
+    try:
+        _, grid, betas = fit_candidates(table, 5)
+        found = violations(table, grid, betas)
+    finally:
+        table.unpersist()
+    return found.groupBy("c", "l1").agg(r6(F.max("violation")).alias("violation"), F.count(F.lit(1)).alias("n_coefficients"))
+
+
+#: A fixed elastic-net model: intercept and one weight per scaled feature.
+FIXED_BASELINE = Baseline(1.0, 0.5, np.array([-0.4, 0.7, 0.0, -0.3, 0.5]), 0, {})
+_BASELINE_RISK = "1 / (1 + exp(-(" + " + ".join([repr(float(FIXED_BASELINE.beta[0])), *[f"({float(b)!r}::DOUBLE) * s.x{d}" for d, b in enumerate(FIXED_BASELINE.beta[1:])]]) + ")))"
+
+
 def _three_metrics(score: str) -> str:
     return (
         f"SELECT 'roc_auc' AS metric, ({_auc(score, 'forecasts')}) AS value UNION ALL SELECT 'average_precision', ({_ap(score, 'forecasts')}) "
@@ -318,3 +339,23 @@ def st16(ctx):
 
     table = behave.compare_models(metrics("risk"), metrics("current_risk"))
     return table.withColumns({c: r6(c) for c in ("forecast", "baseline")})
+
+
+@query("st16_against_baseline", ["forecasts", "both_models"],
+       f"SELECT f.metric, {sql6('f.value')} AS forecast, {sql6('b.value')} AS baseline, CASE WHEN round(f.value, 9) = round(b.value, 9) THEN 'tie' WHEN (f.value < b.value) = (f.metric = 'brier_score') THEN 'forecast' ELSE 'baseline' END AS ahead "
+       f"FROM ({_three_metrics('risk')}) f JOIN ({_three_metrics('baseline_risk').replace('forecasts', 'both_models')}) b USING (metric)",
+       extra={
+           "both_models": (
+               ["scaled", "outcomes", "test"],
+               f"SELECT s.subject_id, o.target, {_BASELINE_RISK} AS baseline_risk FROM scaled s JOIN outcomes o USING (subject_id) "
+               "WHERE o.target IS NOT NULL AND s.subject_id IN (SELECT subject_id FROM test) AND s.t = (SELECT max(q.t) FROM scaled q WHERE q.subject_id = s.subject_id AND q.t <= 5)",
+           ),
+       })
+def st16_baseline(ctx):
+    """The forecast against an elastic-net model on the landmark session of the same subjects."""
+    vectors = landmark_vectors(ctx.usable, ctx.outcomes, ctx.scaler, ctx.spec)
+    predictions = cut_lineage(predict_baseline(restrict(vectors, ctx.test), FIXED_BASELINE))
+    named = F.col("metric").isin("roc_auc", "average_precision", "brier_score")
+    metrics = lambda df: as_metrics(score_metrics(df), "m").where(named).withColumn("value", F.round("value", 9))
+    table = behave.compare_models(metrics(ctx.forecasts), metrics(predictions))
+    return table.withColumns({c: r6(c) for c in ("forecast", "baseline")})
