@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftpanel.functions.lineage import cut_lineage
+from driftpanel.operators.baseline import Baseline
 from driftpanel.operators import behavior as behave
 from driftpanel.operators.hmm import HmmModel
 from driftpanel.operators.normalize import normalize_behavior, normalize_outcomes, normalize_sessions
@@ -31,6 +32,9 @@ FIXED_TWO_STATE = HmmModel(
     covars=np.array([[1.2, 1.1, 0.9, 1.0], [0.9, 1.0, 0.7, 1.1]]),
 )
 
+#: A fixed elastic-net model: intercept and one weight per scaled feature.
+FIXED_BASELINE = Baseline(1.0, 0.5, np.array([-0.4, 0.7, 0.0, -0.3, 0.5]), 0, {})
+
 
 class Context:
     """Study tables over one folder of source tables; every property is a DataFrame unless noted."""

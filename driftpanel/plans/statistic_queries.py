@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from driftpanel.functions.columns import r6
@@ -10,10 +9,11 @@ from driftpanel.functions.lineage import cut_lineage
 from driftpanel.functions.sampling import stage_seed
 from driftpanel.operators import behavior as behave
 from driftpanel.operators import ordering, stats
-from driftpanel.operators.baseline import GRID_C, GRID_L1, Baseline, fit_baseline, fit_candidates, fold_table, predict_baseline, violations
+from driftpanel.operators.baseline import GRID_C, GRID_L1, fit_baseline, fit_candidates, fold_table, predict_baseline, violations
 from driftpanel.operators.sequences import restrict
 from driftpanel.operators.states import occupancy
 from driftpanel.plans.analysis import as_metrics, landmark_vectors, score_metrics
+from driftpanel.plans.context import FIXED_BASELINE
 from driftpanel.plans.oracle import mid_rank, r6 as sql6, tree_tables
 from driftpanel.plans.registry import query
 
@@ -314,8 +314,6 @@ def st15_optimality(ctx):
     return found.groupBy("c", "l1").agg(r6(F.max("violation")).alias("violation"), F.count(F.lit(1)).alias("n_coefficients"))
 
 
-#: A fixed elastic-net model: intercept and one weight per scaled feature.
-FIXED_BASELINE = Baseline(1.0, 0.5, np.array([-0.4, 0.7, 0.0, -0.3, 0.5]), 0, {})
 _BASELINE_RISK = "1 / (1 + exp(-(" + " + ".join([repr(float(FIXED_BASELINE.beta[0])), *[f"({float(b)!r}::DOUBLE) * s.x{d}" for d, b in enumerate(FIXED_BASELINE.beta[1:])]]) + ")))"
 
 

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from driftpanel.functions.columns import alarm, arm_rank, hour_of_day, r6, state_label, stratum
 from driftpanel.functions.lineage import shared_folder
 from driftpanel.functions.ranks import with_constants
 from driftpanel.operators import normalize as norm
-from driftpanel.operators import quality, stats
+from driftpanel.operators import quality, states as st, stats
+from driftpanel.operators.baseline import predict_baseline
 from driftpanel.operators.behavior import merge_behavior, target_behavior
 from driftpanel.operators.ordering import subject_covariates, with_arm
 from driftpanel.operators.sequences import landmark, qc_sessions, restrict, scale_rows
-from driftpanel.plans.analysis import dataset_summary, survival_by_arm
+from driftpanel.plans.analysis import dataset_summary, landmark_vectors, survival_by_arm
+from driftpanel.plans.context import FIXED_BASELINE
 from driftpanel.plans.oracle import FEATURES, r6 as sql6
 from driftpanel.plans.registry import query
 from driftpanel.sources.sinks import manifest_document, metrics_document, write_results, write_study
@@ -93,19 +96,41 @@ def io4(ctx):
     return document.select(*[F.get_json_object("value", path).cast("long").alias(c) for c, path in at.items()])
 
 
-@query("io5_result_tables", ["outcomes", "test_scored", "forecasts", "state_index"],
-       "SELECT 'split_assignments' AS tbl, count(*) AS n FROM outcomes UNION ALL SELECT 'scored_sessions', count(*) FROM test_scored "
-       "UNION ALL SELECT 'early_predictions', count(*) FROM forecasts UNION ALL SELECT 'state_index', count(*) FROM state_index")
+_RESULT_COUNTS = {
+    "split_assignments": "outcomes",
+    "scored_sessions": "test_scored",
+    "early_predictions": "forecasts",
+    "state_index": "state_index",
+    "baseline_predictions": "(SELECT DISTINCT subject_id FROM scaled JOIN outcomes USING (subject_id) WHERE target IS NOT NULL AND scaled.t <= 5 AND subject_id IN (SELECT subject_id FROM test))",
+    "state_occupancy": "(SELECT DISTINCT arm, t FROM test_scored)",
+    "group_transitions": "(VALUES ('a0'), ('a1'), ('a2'), ('a3'))",
+    "transition_matrix": "(SELECT DISTINCT i FROM steps)",
+}
+
+
+@query("io5_result_tables", ["outcomes", "test_scored", "forecasts", "state_index", "scaled", "test", "steps"],
+       " UNION ALL ".join(f"SELECT '{name}' AS tbl, count(*) AS n FROM {source}" for name, source in _RESULT_COUNTS.items()))
 def io5(ctx):
     """Result tables after a round trip through files."""
     folder = _scratch(ctx)
-    tables = {"split_assignments": ctx.assignments, "scored_sessions": ctx.scored, "early_predictions": ctx.forecasts, "state_index": ctx.index}
+    vectors = landmark_vectors(ctx.usable, ctx.outcomes, ctx.scaler, ctx.spec)
+    steps = st.parameter_tables(ctx.sessions, ctx.model, ctx.order, ctx.spec)["transition"]
+    tables = {
+        "split_assignments": ctx.assignments,
+        "scored_sessions": ctx.scored,
+        "early_predictions": ctx.forecasts,
+        "state_index": ctx.index,
+        "baseline_predictions": predict_baseline(restrict(vectors, ctx.test), FIXED_BASELINE),
+        "state_occupancy": st.occupancy(ctx.scored, ctx.model.n_states),
+        "group_transitions": st.transition_summary(ctx.scored, ctx.spec),
+        "transition_matrix": st.transition_wide(steps, ctx.model.n_states),
+    }
     metrics = dataset_summary(ctx.sessions, ctx.outcomes, ctx.spec).select(
         F.lit("dataset").alias("section"), F.lit("all").alias("scope"), F.lit("n_sessions").alias("metric"), F.col("n_sessions").cast("double").alias("value")
     )
     write_results(tables, metrics, folder)
     parts = [ctx.spark.read.parquet(f"{folder}/tables/{n}").agg(_n().alias("n")).select(F.lit(n).alias("tbl"), "n") for n in tables]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return reduce(DataFrame.union, parts)
 
 
 @query("io6_metrics_document", ["outcomes"],
