@@ -17,9 +17,14 @@ MODEL = "word_bpe_49k.json"
 END_ID = 2
 #: Text bytes per file; a file is what one task sorts, encodes and writes.
 FILE_BYTES = 32 << 20
-#: Bytes of text that are encoded together, and bytes of distinct words that a task remembers.
-GROUP_BYTES = 1 << 20
-REMEMBERED_BYTES = 48 << 20
+#: Bytes of text that are encoded together, and words that a Python worker remembers.
+GROUP_BYTES = 2 << 20
+REMEMBERED = 600_000
+#: Words per line that goes to the library, and the control character that stands between them.
+LINE = 64
+MARK = "\x02"
+#: Marks that end a word of letters as a unit of their own.
+CLOSING = b".,;:!?"
 ROW_COLUMNS = "part int, doc_id long, first long, n int, ids array<int>"
 #: Writer options: stripes are what one reader task takes at least (their size is looked at every 200 rows),
 #: each 10,000 rows have an entry of the row index.
@@ -36,46 +41,111 @@ ORC = {
 class WordIds:
     """Token ids of byte texts through a table of the words seen so far.
 
-    Words are what ASCII white space separates. ``encode`` (a list of strings to lists of ids) must
-    treat such words one by one: the vocabulary's normalizer and pre-tokenizer drop white space and
-    look at nothing beyond it, and no special string contains any.
+    Words are what ASCII white space separates. ``encode`` (a list of strings to an iterable of id
+    lists) must treat such words one by one: the vocabulary's normalizer and pre-tokenizer drop
+    white space and look at nothing beyond it, and no special string contains any. New words go to
+    the library ``LINE`` at a time, with a mark between them whose one id no other word here has.
+    A full table keeps the words that were met again.
     """
 
-    def __init__(self, encode, remembered_bytes: int = REMEMBERED_BYTES):
-        self.encode, self.remembered_bytes = encode, remembered_bytes
-        self._forget()
+    def __init__(self, encode, remembered: int = REMEMBERED):
+        import numpy as np
+
+        self.encode, self.remembered = encode, remembered
+        marks = next(iter(encode([MARK])))
+        self.mark = marks[0] if len(marks) == 1 else None
+        self.index = defaultdict(itertools.count().__next__)
+        self.start, self.length, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat = np.zeros(0, np.int32)
 
     def _forget(self) -> None:
+        """Keep the words met twice or more, half a table at most, the most used first."""
         import numpy as np
 
-        self.index = defaultdict(itertools.count().__next__)
-        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.bytes = 0
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.remembered // 2:
+            kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.remembered // 2])
+        words = list(self.index)
+        self.index = defaultdict(itertools.count(len(kept)).__next__, {words[k]: i for i, k in enumerate(kept.tolist())})
+        start, self.length = self.start[kept], self.length[kept]
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = self.flat[np.repeat(start - self.start, self.length) + np.arange(int(self.length.sum()))]
+        self.uses = np.zeros(len(kept), np.int64)
+
+    def _encoded(self, words: list[bytes]):
+        """Ids of all words in a row, and the number of each."""
+        import numpy as np
+
+        texts = [w.decode("utf-8", "replace") for w in words]
+        alone = np.fromiter((self.mark is None or MARK in t for t in texts), bool, len(texts))
+        joined = [t for t, a in zip(texts, alone, strict=True) if not a]
+        lines = [f" {MARK} ".join(joined[i : i + LINE]) + f" {MARK}" for i in range(0, len(joined), LINE)]
+        ids = np.fromiter(itertools.chain.from_iterable(self.encode(lines)), np.int32)
+        ends = np.flatnonzero(ids == self.mark) if len(ids) else np.zeros(0, np.int64)
+        length = np.zeros(len(texts), np.int64)
+        length[~alone] = np.diff(np.r_[-1, ends]) - 1
+        parts = list(self.encode([t for t, a in zip(texts, alone, strict=True) if a]))
+        length[alone] = [len(p) for p in parts]
+        order = np.repeat(alone, length)
+        flat = np.empty(len(order), np.int32)
+        flat[~order] = ids[ids != self.mark] if len(ids) else ids
+        flat[order] = list(itertools.chain.from_iterable(parts))
+        return flat, length
+
+    def _parts(self, word: bytes):
+        """Numbers of the words that a word consists of: letters in lower case, then a closing mark; none if it is to be encoded itself.
+
+        The vocabulary's normalizer lower-cases letter by letter, and its pre-tokenizer ends a unit where
+        letters end, so the ids are those of the parts one after the other.
+        """
+        if word.isalpha():
+            lower = word.lower()
+            return (self.index[lower],) if lower != word else None
+        if word[:-1].isalpha() and word[-1] in CLOSING:
+            return self.index[word[:-1].lower()], self.index[word[-1:]]
+        return None
 
     def _learn(self) -> None:
         import numpy as np
 
-        new = list(itertools.islice(self.index, len(self.length), None))
-        if not new:
+        known = len(self.length)
+        if len(self.index) == known:
             return
-        ids = self.encode([w.decode("utf-8", "replace") for w in new])
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = len(self.flat) + np.cumsum(length) - length
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(length.sum()))
-        self.start, self.length = np.r_[self.start, start], np.r_[self.length, length]
+        words = list(itertools.islice(self.index, known, None))
+        parts = [self._parts(w) for w in words]
+        more = list(itertools.islice(self.index, known + len(words), None))
+        whole = np.fromiter((p is None for p in parts), bool, len(parts))
+        encoded = [w for w, p in zip(words, parts, strict=True) if p is None] + more
+        flat, length = self._encoded(encoded)
+        places = np.r_[known + np.flatnonzero(whole), np.arange(known + len(words), known + len(words) + len(more))]
+        grown = [np.r_[x, np.zeros(len(words) + len(more), np.int64)] for x in (self.start, self.length, self.uses)]
+        self.start, self.length, self.uses = grown
+        self.start[places], self.length[places] = len(self.flat) + np.cumsum(length) - length, length
         self.flat = np.r_[self.flat, flat]
-        self.bytes += sum(map(len, new))
+        # words of parts: a part's ids, and those of a closing mark behind them
+        pair = np.array([(p[0], p[-1] if len(p) > 1 else -1) for p in parts if p is not None], np.int64).reshape(-1, 2)
+        made = known + np.flatnonzero(~whole)
+        alone = pair[:, 1] < 0
+        self.start[made[alone]], self.length[made[alone]] = self.start[pair[alone, 0]], self.length[pair[alone, 0]]
+        made, pair = made[~alone], pair[~alone].reshape(-1)
+        sizes = self.length[pair]
+        ends = np.cumsum(sizes)
+        joined = self.flat[np.repeat(self.start[pair] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        both = sizes.reshape(-1, 2).sum(1)
+        self.start[made], self.length[made] = len(self.flat) + np.cumsum(both) - both, both
+        self.flat = np.r_[self.flat, joined]
 
     def __call__(self, texts: list[bytes], end_id: int | None = None):
         """Ids of all texts in a row, and the number of each text; ``end_id`` follows every text."""
         import numpy as np
 
-        if self.bytes > self.remembered_bytes:
+        if len(self.length) > self.remembered:
             self._forget()
         words = [t.split() for t in texts]
         n_words = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n_words.sum()))
         self._learn()
+        self.uses += np.bincount(at, minlength=len(self.uses))
         start, length, flat = self.start, self.length, self.flat
         if end_id is not None:
             end = len(length)
@@ -89,21 +159,31 @@ class WordIds:
         return ids, np.diff(np.r_[0, total])
 
 
+_TABLES: dict[str, WordIds] = {}
+
+
+def word_ids_of(where: str) -> WordIds:
+    """The word table of a vocabulary file; tasks that one Python worker runs share it, which changes no result."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    if where not in _TABLES:
+        tokenizer = Tokenizer.from_file(where)
+        _TABLES[where] = WordIds(lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+    return _TABLES[where]
+
+
 def _encoder(where: str, end_id: int, group_bytes: int):
     """Sorted ``doc_id, text`` rows of one file to its rows; ``first`` is the number of ids before the row in the file."""
 
     def run(batches):
-        import os
-
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(where)
-        word_ids = WordIds(lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+        word_ids = word_ids_of(where)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())

@@ -33,7 +33,7 @@ def brute_force(rows, tokenizer):
 
 ODD = [
     None, "", " \t\r\n\x0b\x0c ", "Hello  World", "hello<|endoftext|>x <|startoftext|>", "a\x00b \x1c x\x85y", "É é 　x ́y", "don't ''s 12345 !!!abc",
-    "İ ẞ ΑΣ ΑΣΑ ﬁ Å", "漢字かな交じり文" * 50, "    ​", "x" * 50_000, "many words here " * 30_000,
+    "İ ẞ ΑΣ ΑΣΑ ﬁ Å", "漢字かな交じり文" * 50, "    ​", "\x02 a\x02b \x02", "x" * 50_000, "many words here " * 30_000,
 ]
 
 
@@ -113,3 +113,14 @@ def test_stripes_cover_the_file_and_are_read_apart(spark, documents, tmp_path):
     assert sum(stripes, []) == whole == sorted(whole)
     # run lengths: ids of two bytes, not four
     assert file.content_length < 0.6 * 4 * sum(token_store.read_ids(spark, path).agg({"n": "sum"}).first())
+
+
+def test_a_full_word_table_changes_nothing(tokenizer):
+    rng = random.Random(8)
+    encode = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    small = token_store.WordIds(encode, remembered=20)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["the", "İs", "x\x02y", f"w{rng.randrange(90)}", "<|endoftext|>"]) for _ in range(rng.randrange(12))) for _ in range(3)]
+        ids, n = small([t.encode() for t in texts], end_id=2)
+        want = [[*e, 2] for e in encode(texts)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
