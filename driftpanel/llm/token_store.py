@@ -18,8 +18,8 @@ END_ID = 2
 #: Text bytes per file; a file is what one task sorts, encodes and writes.
 FILE_BYTES = 32 << 20
 #: Bytes of text that are encoded together, and words that a Python worker remembers.
-GROUP_BYTES = 2 << 20
-REMEMBERED = 600_000
+GROUP_BYTES = 1 << 20
+REMEMBERED = 350_000
 #: Words per line that goes to the library, and the control character that stands between them.
 LINE = 64
 MARK = "\x02"
