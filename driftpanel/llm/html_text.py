@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,8 +33,11 @@ NAMES = frozenset(
     "subscribe subscription newsletter signup login share sharing social comment comments commentlist disqus respond reply replies discussion form search copyright".split()
 )
 
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(UNSEEN) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|</?[a-zA-Z][^<>]*(?:>|\Z)")
+_START = re.compile(r"<!--|<(" + "|".join(UNSEEN) + r")\b|<[!?]", re.I)
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in UNSEEN}
+_TAG = re.compile(r"</?[a-zA-Z]")
+_NAME_END = re.compile(r"[\s/>]")
+_EDGE = re.compile(r"[<>]")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 
@@ -55,13 +60,82 @@ def _is_furniture(name: str, attributes: str, in_body: bool, by_name: bool) -> b
     return False
 
 
+class _Closers:
+    """Where a tag ends: the first ``>`` outside quotes from a place that is outside quotes, -1 without one.
+
+    The answers for all places are found in one pass from the end of the page, so that pages of
+    unclosed tags or quotes take no more time than others.
+    """
+
+    def __init__(self, page: str):
+        self.places = [m.start() for m in re.finditer("[\"'>]", page)]
+        self.ends = [-1] * (len(self.places) + 1)
+        after = {'"': None, "'": None}
+        for k in range(len(self.places) - 1, -1, -1):
+            mark = page[self.places[k]]
+            if mark == ">":
+                self.ends[k] = self.places[k]
+            else:
+                # a quote opens here; behind its partner the tag goes on
+                self.ends[k] = -1 if after[mark] is None else self.ends[after[mark] + 1]
+                after[mark] = k
+
+    def __call__(self, at: int) -> int:
+        return self.ends[bisect_left(self.places, at)]
+
+
+def visible(page: str) -> str:
+    """The page without comments, declarations and the elements that hold no text for readers; one space stands for each."""
+    closer, last, out, kept, at = _Closers(page), page.rfind(">"), [], 0, 0
+    while start := _START.search(page, at):
+        if start[0] == "<!--":
+            end = page.find("-->", start.end())
+            end = len(page) if end < 0 else end + 3
+        elif start[1]:
+            end = closer(start.end())
+            if end >= 0:
+                found = _END[start[1].lower()].search(page, end + 1)
+                end = found.end() if found else len(page)
+        else:
+            end = page.find(">", start.end()) + 1 if start.end() <= last else -1
+        if end < 0:
+            at = start.start() + 1
+            continue
+        out += [page[kept : start.start()], " "]
+        kept = at = end
+    return "".join([*out, page[kept:]])
+
+
+def tags(page: str):
+    """``start, end, closing, name, attributes`` of every tag; the name is empty where a tag is not closed properly."""
+    closer, at, name_end = _Closers(page), 0, -1
+    while start := _TAG.search(page, at):
+        closing = page[start.start() + 1] == "/"
+        first = start.end() - 1
+        if name_end <= first:
+            found = _NAME_END.search(page, first)
+            name_end = found.start() if found else len(page)
+        end = closer(name_end)
+        if end >= 0:
+            yield start.start(), end + 1, closing, page[first:name_end].lower(), page[name_end:end]
+            at = end + 1
+            continue
+        edge = _EDGE.search(page, first)
+        if edge and edge[0] == "<":
+            at = edge.start()
+            continue
+        at = edge.end() if edge else len(page)
+        yield start.start(), at, closing, "", ""
+
+
 def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, bool, bool]]:
     """The page's blocks in order: text, characters outside links, whether it is furniture, whether an article holds it."""
-    page = _UNSEEN.sub(" ", page)
+    page = visible(page)
     lines: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     linked = [0]
     stack: list[tuple[str, bool, bool]] = []
+    opened: Counter[str] = Counter()
 
     def state() -> tuple[bool, bool]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, False)
@@ -77,32 +151,37 @@ def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, bool, bool
         if raw:
             shown = html.unescape(raw)
             text.append(shown)
-            if any(x[0] == "a" for x in stack):
+            if opened["a"]:
                 linked[0] += len(shown.strip())
 
+    def close(name: str) -> None:
+        """Close the innermost open element of a name and all inside it."""
+        while opened[name]:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last == name:
+                break
+
     at = 0
-    for tag in _TAG.finditer(page):
-        add(page[at : tag.start()])
-        at = tag.end()
-        if tag[2] is None:
+    for start, end, closing, name, attributes in tags(page):
+        add(page[at:start])
+        at = end
+        if not name:
             continue
-        name = tag[2].lower()
         if name == "br":
             text.append(" ")
             continue
         if name in BLOCKS:
             flush()
-        if tag[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
-        elif name not in VOID and not tag[3].endswith("/"):
+        if closing:
+            close(name)
+        elif name not in VOID and not attributes.endswith("/"):
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                stack.pop()
+                close(name)
             off, body = state()
-            off = off or _is_furniture(name, tag[3], body, by_name)
+            off = off or _is_furniture(name, attributes, body, by_name)
             stack.append((name, off, (body or name in BODY) and not off))
+            opened[name] += 1
     add(page[at:])
     flush()
     return lines
@@ -150,7 +229,10 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every row of ``pages`` (``page_id, url, html``; the rest is ignored)."""
+    """``page_id, url, text, n_chars`` of every row of ``pages`` (``page_id, url, html``; the rest is ignored).
+
+    Pages are read whole; the time of a page is in proportion to its length, whatever its markup.
+    """
 
     def run(batches):
         import pyarrow as pa

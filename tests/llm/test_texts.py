@@ -266,3 +266,15 @@ def test_trust_and_distrust_flow_over_links(spark):
     want = {h: "block" if distrust[h] >= least and distrust[h] > trust[h] else "allow" for h in names}
     assert {h: r.verdict for h, r in got.items()} == want
     assert want["feeder.org"] == want["spam-two.org"] == "block" and want["friend.org"] == want["lonely.org"] == "allow"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<script ", '<a "', "<a<a", "<!x", "<b>x", "</x>y", "<b>x</x>", "<!-- ", "<a b='", "<div class='ad'>x"])
+def test_bad_markup_takes_time_in_proportion(part):
+    import time
+
+    seconds = []
+    for size in (1 << 18, 1 << 20):
+        began = time.process_time()
+        html_text.main_text(part * (size // len(part)))
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 12 * seconds[0] + 0.5 and seconds[1] < 8
