@@ -56,7 +56,8 @@ def test_a_sequence_of_a_million_steps(spark):
     got = infer_steps(steps, MODEL)
     row = got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("t").alias("places"), F.sum("gained").alias("ll"), F.max(F.abs(F.aggregate("posterior", F.lit(0.0), lambda a, v: a + v) - 1)).alias("off")).first()
     assert (row.n, row.places) == (n, n) and row.off < 1e-9
-    x = np.stack(steps.orderBy("t").toPandas()["x"])
+    table = steps.select("t", F.col("x")[0].alias("a"), F.col("x")[1].alias("b")).toArrow().sort_by("t")
+    x = np.column_stack([table.column(c).to_numpy() for c in ("a", "b")])
     weights = np.exp(hmm.log_density(x, MODEL.means, MODEL.covars))
     at, total = MODEL.start, 0.0
     for t in range(n):
