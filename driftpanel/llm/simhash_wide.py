@@ -21,7 +21,15 @@ BITS = 64 * WORDS
 MEET = 0.999
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Members of one bucket that are compared together; larger buckets are dealt into such parts.
+#: Deviations that the accepted distance lies above what the similarity makes expect: 0.93 of the pairs at exactly it are accepted.
+SLACK = 1.5
+#: Blocks of the first round, and members of a bucket that one looks back for a partner there.
+FIRST_BLOCKS = 3
+LOOK_BACK = 128
+#: Members of one bucket that a task holds on two words, and comparisons of two words that it makes for one bucket.
+HELD = 1 << 18
+COMPARED = 1 << 28
+#: Members of one bucket whose whole fingerprints are compared together; larger buckets are dealt into such parts.
 PART = 4096
 #: Of the two fingerprint words that travel with a block, as many bits may differ before the rest is looked at (3 deviations).
 PREVIEW_SLACK = 3.0
@@ -33,8 +41,8 @@ def expected_share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def most_bits(similarity: float, bits: int = BITS, slack: float = 0.5) -> int:
-    """Accepted distance: what the similarity makes expect, and half a standard deviation more."""
+def most_bits(similarity: float, bits: int = BITS, slack: float = SLACK) -> int:
+    """Accepted distance: what the similarity makes expect, and so many standard deviations more."""
     p = expected_share(similarity)
     return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
@@ -123,17 +131,17 @@ def block_values(fps, bits: int, count: int):
 
 
 def _blocks(bits: int, count: int):
-    """``node, fp`` to ``bucket, turn, node, first, second``: block number and value, an order that differs by block, two fingerprint words."""
+    """``node, fp, root`` to ``bucket, turn, node, first, second, root``: block number and value, an order that differs by block, two fingerprint words."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["bucket", "turn", "node", "first", "second"]
+        names = ["bucket", "turn", "node", "first", "second", "root"]
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                nodes = batch.column(0).to_numpy().view(np.uint64)
+                nodes, roots = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 2))
                 fps = _fingerprints_of(batch.column(1))
                 values = block_values(fps, bits, count)
                 number = np.arange(count, dtype=np.uint64)
@@ -142,13 +150,45 @@ def _blocks(bits: int, count: int):
                 flat = lambda x: pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64))
                 wide = np.broadcast_to
                 yield pa.RecordBatch.from_arrays(
-                    [flat(bucket), flat(turn), *[flat(wide(c[:, None], values.shape)) for c in (nodes, fps[:, 3], fps[:, 10])]], names
+                    [flat(bucket), flat(turn), *[flat(wide(c[:, None], values.shape)) for c in (nodes, fps[:, 3], fps[:, 10], roots)]], names
                 )
 
     return run
 
 
-def _near_in_buckets(limit: int, part: int):
+def _first_links(limit: int):
+    """Buckets that arrive in order to ``a, b``: each member and the nearest before it that is close on two words, one pair a member at most.
+
+    A large group of near copies becomes few components this way, so that the round over all blocks does
+    not meet its pairs. What is missed here is found there.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            bucket, node, first, second = (batch.column(n).to_numpy() for n in ("bucket", "node", "first", "second"))
+            first, second = first.view(np.uint64), second.view(np.uint64)
+            linked = np.zeros(len(bucket), bool)
+            pairs = [np.zeros((0, 2), np.int64)]
+            for d in range(1, min(LOOK_BACK, len(bucket) - 1) + 1):
+                same = bucket[d:] == bucket[:-d]
+                if not same.any():
+                    break
+                later = np.flatnonzero(same & ~linked[d:]) + d
+                apart = np.bitwise_count(first[later] ^ first[later - d]).astype(np.int16) + np.bitwise_count(second[later] ^ second[later - d])
+                later = later[apart <= limit]
+                linked[later] = True
+                x, y = node[later], node[later - d]
+                pairs.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+            a, b = np.concatenate(pairs).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _near_in_buckets(limit: int):
     """Buckets that arrive in order to ``bucket, a, b``: close pairs of the previews (no bucket), or the members of a dense bucket (no ``b``)."""
 
     def run(batches):
@@ -156,8 +196,8 @@ def _near_in_buckets(limit: int, part: int):
         import pyarrow as pa
 
         def links(rows, cut):
-            bucket, node, first, second = rows
-            a, b, dense = close_pairs(bucket, first, second, limit, part, cut)
+            bucket, node, first, second, root = rows
+            a, b, dense = close_pairs(bucket, first, second, root, limit, cut)
             x, y = node[a], node[b]
             pair = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0) if len(x) else np.zeros((0, 2), np.int64)
             none = np.r_[np.ones(len(pair), bool), np.zeros(len(dense), bool)]
@@ -168,14 +208,14 @@ def _near_in_buckets(limit: int, part: int):
             ]
             return pa.RecordBatch.from_arrays(columns, ["bucket", "a", "b"])
 
-        kept, cut = [np.zeros(0, np.int64)] * 4, None
+        kept, cut = [np.zeros(0, np.int64)] * 5, None
         for batch in batches:
-            new = [batch.column(n).to_numpy() for n in ("bucket", "node", "first", "second")]
+            new = [batch.column(n).to_numpy() for n in ("bucket", "node", "first", "second", "root")]
             now = [np.concatenate(x) for x in zip(kept, new, strict=True)]
             if not len(now[0]):
                 continue
             start = len(now[0]) - int(np.argmax(now[0][::-1] != now[0][-1])) if (now[0] != now[0][-1]).any() else 0
-            full = (len(now[0]) - start) // part * part
+            full = len(now[0]) - start if len(now[0]) - start >= HELD else 0
             kept = [x[start + full :] for x in now]
             if start:
                 yield links([x[:start] for x in now], cut)
@@ -189,10 +229,13 @@ def _near_in_buckets(limit: int, part: int):
     return run
 
 
-def close_pairs(bucket, first, second, limit: int, part: int = PART, cut: int | None = None, shifts: int = 128):
-    """Positions of all pairs within ``limit`` bits on two words, and of the members of dense buckets, whose pairs are left out.
+def close_pairs(bucket, first, second, root, limit: int, cut: int | None = None, shifts: int = 128):
+    """Positions of all pairs of different roots within ``limit`` bits on two words, and of the members of dense buckets, whose pairs are left out.
 
-    Dense are buckets of ``part`` members or more, the bucket ``cut``, and those with over 12 close pairs a member.
+    In a large bucket the members outside its most frequent root are compared with all others, the members of that root
+    not with each other. Dense are buckets of ``HELD`` members or more, the bucket ``cut``, buckets that would take over
+    ``COMPARED`` comparisons or has over 12 close pairs a member. Of a bucket with more pairs than members in them those members
+    are returned instead of the pairs.
     """
     import numpy as np
 
@@ -200,10 +243,11 @@ def close_pairs(bucket, first, second, limit: int, part: int = PART, cut: int |
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     size = np.diff(np.r_[start, len(bucket)])
     group = np.repeat(np.arange(len(start)), size)
-    dense = (size >= part) | (bucket[start] == cut if cut is not None else False)
+    dense = (size >= HELD) | (bucket[start] == cut if cut is not None else False)
     small = (size <= shifts) & ~dense
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    within = lambda x, y: np.bitwise_count(first[x] ^ first[y]).astype(np.int16) + np.bitwise_count(second[x] ^ second[y]) <= limit
+    near = lambda x, y: np.bitwise_count(first[x] ^ first[y]).astype(np.int16) + np.bitwise_count(second[x] ^ second[y]) <= limit
+    within = lambda x, y: near(x, y) & (root[x] != root[y])
     members = np.flatnonzero(small[group])
     for d in range(1, int(size[small].max(initial=1))):
         members = members[(members + d < len(group))]
@@ -212,10 +256,18 @@ def close_pairs(bucket, first, second, limit: int, part: int = PART, cut: int |
         a.append(at)
         b.append(at + d)
     for g in np.flatnonzero(~small & ~dense):
+        every = np.arange(start[g], start[g] + size[g])
+        names, counts = np.unique(root[every], return_counts=True)
+        main = root[every] == names[np.argmax(counts)]
+        others = every[~main]
+        if len(others) * size[g] > COMPARED:
+            dense[g] = True
+            continue
+        # the main members first: each other member meets them and the others before it
+        line = np.r_[every[main], others]
         x, y, n = [], [], 0
-        for i in range(start[g], start[g] + size[g] - 1):
-            rest = np.arange(i + 1, start[g] + size[g])
-            found = rest[within(i, rest)]
+        for k, i in enumerate(others.tolist(), start=int(main.sum())):
+            found = line[:k][within(i, line[:k])]
             x.append(np.full(len(found), i))
             y.append(found)
             n += len(found)
@@ -226,9 +278,12 @@ def close_pairs(bucket, first, second, limit: int, part: int = PART, cut: int |
             a += x
             b += y
     a, b = np.concatenate(a), np.concatenate(b)
-    dense |= np.bincount(group[a], minlength=len(start)) > 12 * size
-    sparse = ~dense[group[a]]
-    return a[sparse], b[sparse], np.flatnonzero(dense[group])
+    met = np.zeros(len(group), bool)
+    met[a] = met[b] = True
+    # more pairs than members that have one: their whole fingerprints are compared, the others have no close partner
+    several = np.bincount(group[a], minlength=len(start)) > np.bincount(group[met], minlength=len(start))
+    sparse = ~(dense | several)[group[a]]
+    return a[sparse], b[sparse], np.flatnonzero(dense[group] | (several[group] & met))
 
 
 def _fingerprints_of(column):
@@ -353,15 +408,25 @@ def _links_across_parts(members: DataFrame, known: DataFrame, most: int) -> Data
     return dealt.mapInArrow(_crossings(most), "a long, b long").distinct()
 
 
+def _verified(candidates: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The pairs ``a, b`` whose whole fingerprints differ in at most ``most`` bits."""
+    ends = nodes.select("node", "fp")
+    both = candidates.join(ends.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(ends.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
+    distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(distance <= most).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """``doc_id, component_id`` of every row: groups of texts that chains of similar pairs connect.
 
     Pairs link when their 1,024-bit fingerprints differ in no more bits than the similarity makes
-    expect (and half a deviation). They are found on blocks whose number follows from their bits, so
+    expect and 1.5 deviations. They are found on blocks whose number follows from their bits, so
     that a pair of the stated similarity shares at least one with probability ``MEET`` at every
-    number of documents. The distance is an estimate: about 0.69 of the pairs at exactly the
-    similarity are accepted. Equal texts are one node. Where many members of a bucket are close on
-    two words, whole fingerprints link them. A bucket of over ``part`` members is dealt into parts;
+    number of documents. The distance is an estimate: about 0.93 of the pairs at exactly the
+    similarity are accepted, and a third of those at 0.75. Equal texts are one node. A first round over few blocks
+    links each member to one close predecessor; the round over all blocks then looks at pairs of different
+    components only, so pairs grow with members, not with the square of a group. Where many members of a bucket are
+    close on two words, whole fingerprints link them. A bucket of over ``part`` members is dealt into parts;
     members outside its largest group are then compared with all the parts. Texts without words
     (null, empty) are one group; null ids and repeated rows are rows like any other, and a null id
     names a group only if all its ids are null. An empty table gives an empty result.
@@ -372,15 +437,18 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     bits = block_bits(nodes.count())
     p = expected_share(similarity)
     limit = math.floor(128 * p + PREVIEW_SLACK * math.sqrt(128 * p * (1 - p)))
-    blocks = nodes.select("node", "fp").mapInArrow(_blocks(bits, block_count(bits, similarity)), "bucket long, turn long, node long, first long, second long")
-    dealt = blocks.repartition("bucket").sortWithinPartitions("bucket", "turn")
-    found = cut_lineage(dealt.mapInArrow(_near_in_buckets(limit, part), "bucket long, a long, b long"))
-    candidates = found.where("b is not null").select("a", "b").distinct()
-    ends = nodes.select("node", "fp")
-    both = candidates.join(ends.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(ends.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
-    distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = most_bits(similarity)
-    links = both.where(distance <= most).select("a", "b")
+
+    def in_buckets(rooted: DataFrame, count: int) -> DataFrame:
+        blocks = rooted.select("node", "fp", "root").mapInArrow(_blocks(bits, count), "bucket long, turn long, node long, first long, second long, root long")
+        return blocks.repartition("bucket").sortWithinPartitions("bucket", "turn")
+
+    first = in_buckets(nodes.withColumn("root", F.col("node")), FIRST_BLOCKS).mapInArrow(_first_links(limit), "a long, b long").distinct()
+    stars = cut_lineage(connected_components(cut_lineage(_verified(first, nodes, most))))
+    rooted = nodes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = cut_lineage(in_buckets(rooted, block_count(bits, similarity)).mapInArrow(_near_in_buckets(limit), "bucket long, a long, b long"))
+    links = stars.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    links = links.unionByName(_verified(found.where("b is not null").select("a", "b").distinct(), nodes, most))
     dense = found.where("b is null").select("bucket", F.col("a").alias("node"))
     large = None
     if not dense.isEmpty():

@@ -8,8 +8,8 @@ from driftpanel.functions.lineage import cut_lineage
 
 #: Words are runs of anything but ASCII white space; nothing else about them is changed.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A key that holds more than this share of the rows is joined by broadcast, so at most 64 keys are.
-HOT_KEYS = 64
+#: A key that holds more than this share of the rows is joined by broadcast, so fewer keys than this are.
+HOT_KEYS = 1024
 #: Stands for a null id where ids are ordered: null counts as the largest id.
 LAST_ID = (1 << 63) - 1
 
@@ -20,7 +20,7 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, total: int, count: str
     """Inner join of ``rows`` and ``lookup`` (one row per ``key``) that survives hot keys.
 
     ``lookup`` carries in ``count`` how many of the ``total`` rows have its key. The keys above
-    1/64 of the rows, fewer than 64 by counting, are broadcast; the rest go through a shuffle join.
+    1/1024 of the rows, fewer than 1024 by counting, are broadcast; the rest go through a shuffle join.
     ``count`` is dropped from the result.
     """
     limit = total // HOT_KEYS

@@ -7,7 +7,7 @@ from driftpanel.llm import decontaminate, simhash, simhash_wide
 from tests.llm.test_simhash import roots
 
 
-def template_group(seed, n, pairs, flips=0.11, apart=0.1):
+def template_group(seed, n, pairs, flips=0.125, apart=0.1):
     """Fingerprints of a template group, mostly too far apart to link, and of planted near copies of its first members."""
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2, 1024, dtype=np.uint8)
@@ -45,8 +45,8 @@ def test_pair_of_a_bucket_whose_previews_are_all_close(n):
     fps[:, [3, 10]] = fps[0, [3, 10]]
     fps[7] = fps[12] ^ np.uint64(1)
     node = np.arange(n) + 100
-    columns = {"bucket": np.full(n, 5), "turn": np.arange(n), "node": node, "first": fps[:, 3].view(np.int64), "second": fps[:, 10].view(np.int64)}
-    rows = [r for out in simhash_wide._near_in_buckets(31, 4096)([pa.RecordBatch.from_pydict(columns)]) for r in out.to_pylist()]
+    columns = {"bucket": np.full(n, 5), "turn": np.arange(n), "node": node, "first": fps[:, 3].view(np.int64), "second": fps[:, 10].view(np.int64), "root": node}
+    rows = [r for out in simhash_wide._near_in_buckets(31)([pa.RecordBatch.from_pydict(columns)]) for r in out.to_pylist()]
     dense = [r["a"] - 100 for r in rows if r["b"] is None]
     found = {(r["a"], r["b"]) for r in rows if r["b"] is not None}
     if dense:
@@ -64,9 +64,8 @@ def test_pairs_meet_at_every_number_of_documents(n):
     b = a ^ (rng.random((pairs, 1024)) < simhash_wide.expected_share(0.8))
     bits = simhash_wide.block_bits(n)
     both = np.packbits(np.vstack([a, b]), axis=1, bitorder="little").view(np.int64)
-    batch = pa.RecordBatch.from_pydict({"node": np.arange(2 * pairs), "fp": pa.array(both.tolist(), pa.list_(pa.int64()))})
-    count = getattr(simhash_wide, "block_count", lambda *_: None)(bits, 0.8)
-    run = simhash_wide._blocks(*[bits, count][: 2 if count else 1])
+    batch = pa.RecordBatch.from_pydict({"node": np.arange(2 * pairs), "fp": pa.array(both.tolist(), pa.list_(pa.int64())), "root": np.arange(2 * pairs)})
+    run = simhash_wide._blocks(bits, simhash_wide.block_count(bits, 0.8))
     buckets = [set() for _ in range(2 * pairs)]
     for out in run([batch]):
         for bucket, node in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
@@ -74,6 +73,48 @@ def test_pairs_meet_at_every_number_of_documents(n):
     assert sum(bool(buckets[i] & buckets[pairs + i]) for i in range(pairs)) >= 0.99 * pairs
 
 
+def test_pairs_grow_with_members_not_with_the_square(spark, monkeypatch):
+    """A group of near copies, each close to each: the pairs that are looked up whole stay below the members times the first blocks, twice."""
+    n = 1500
+    fps = template_group(5, n, 0, flips=0.03)
+    seen = []
+    verified = simhash_wide._verified
+    monkeypatch.setattr(simhash_wide, "_verified", lambda candidates, nodes, most: seen.append(candidates.count()) or verified(candidates, nodes, most))
+    got = groups_of(spark, monkeypatch, fps)
+    assert set(got.values()) == {0} and sum(seen) <= 2 * simhash_wide.FIRST_BLOCKS * n
+
+
+@pytest.mark.parametrize("held", [1 << 18, 300])
+def test_a_large_bucket_of_one_component_and_a_few_others(monkeypatch, held):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash_wide, "HELD", held)
+    n = 5000
+    fps = np.vstack([template_group(7, n, 0, flips=0.02), np.random.default_rng(8).integers(0, 1 << 63, (4, 16)).astype(np.uint64)])
+    fps[n + 3] = fps[17] ^ np.uint64(3)
+    root = np.r_[np.zeros(n, np.int64), np.arange(1, 5)]
+    turn = np.random.default_rng(9).permutation(n + 4)
+    columns = {"bucket": np.full(n + 4, 5), "node": np.arange(n + 4)[turn], "first": fps[turn, 3].view(np.int64), "second": fps[turn, 10].view(np.int64), "root": root[turn]}
+    batches = pa.Table.from_pydict(columns).to_batches(max_chunksize=700)
+    rows = [r for out in simhash_wide._near_in_buckets(31)(iter(batches)) for r in out.to_pylist()]
+    if held < n:
+        assert sorted(r["a"] for r in rows if r["b"] is None) == list(range(n + 4))
+    else:
+        assert len(rows) == n and {(r["a"], r["b"]) for r in rows} == {(i, n + 3) for i in range(n)}  # no pair within the component
+
+
+def test_first_links_are_close_and_one_a_member():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    fps = template_group(6, 300, 0, flips=0.02)
+    bucket = np.sort(rng.integers(0, 4, 300))
+    columns = {"bucket": bucket, "node": np.arange(300), "first": fps[:, 3].view(np.int64), "second": fps[:, 10].view(np.int64)}
+    links = [tuple(r.values()) for out in simhash_wide._first_links(31)([pa.RecordBatch.from_pydict(columns)]) for r in out.to_pylist()]
+    assert len({b for _, b in links}) == len(links) == 300 - len(set(bucket.tolist()))
+    assert all(bucket[a] == bucket[b] and a < b for a, b in links)
+
+
 def test_large_buckets_are_compared_whole(spark, monkeypatch):
     fps = template_group(2, 600, 60)
     got = groups_of(spark, monkeypatch, fps, part=8)
