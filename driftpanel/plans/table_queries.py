@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from driftpanel.functions.columns import alarm, arm_rank, hour_of_day, r6, state_label, stratum
+from driftpanel.functions.joins import by_key
 from driftpanel.functions.lineage import shared_folder
 from driftpanel.functions.ranks import with_constants
 from driftpanel.operators import normalize as norm
@@ -358,19 +359,19 @@ def dq13(ctx):
 @query("jn1_metadata_outcomes", ["metadata", "raw_outcomes"],
        f"SELECT subject_id, arm, batch, {sql6('pressure')} AS pressure, n_sessions, became_positive FROM metadata LEFT JOIN raw_outcomes USING (subject_id)")
 def jn1(ctx):
-    joined = norm.subject_metadata(ctx.sessions).join(ctx.raw.outcomes, "subject_id", "left")
+    joined = norm.subject_metadata(ctx.sessions).join(by_key(ctx.raw.outcomes), "subject_id", "left")
     return joined.select("subject_id", "arm", "batch", r6("pressure").alias("pressure"), "n_sessions", "became_positive")
 
 
 @query("jn2_endpoint_lookup", ["metadata", "endpoint"], "SELECT subject_id, target FROM metadata LEFT JOIN endpoint USING (subject_id)")
 def jn2(ctx):
     targets = norm.endpoint(ctx.sessions, ctx.raw.event_log, ctx.spec)
-    return norm.subject_metadata(ctx.sessions).join(targets, "subject_id", "left").select("subject_id", "target")
+    return norm.subject_metadata(ctx.sessions).join(by_key(targets), "subject_id", "left").select("subject_id", "target")
 
 
 @query("jn3_stage_lookup", ["metadata", "stages"], "SELECT subject_id, coalesce(max_stage, 0) AS max_stage FROM metadata LEFT JOIN stages USING (subject_id)")
 def jn3(ctx):
-    joined = norm.subject_metadata(ctx.sessions).join(norm.max_stage(ctx.raw.event_log), "subject_id", "left")
+    joined = norm.subject_metadata(ctx.sessions).join(by_key(norm.max_stage(ctx.raw.event_log)), "subject_id", "left")
     return joined.select("subject_id", F.coalesce("max_stage", F.lit(0)).alias("max_stage"))
 
 
@@ -403,14 +404,14 @@ _COVARIATES = {
 @query("jn7_index_covariates", ["state_index", "covariates"],
        f"SELECT subject_id, {sql6('mean_state_index')} AS mean_state_index, batch, clutch, {sql6('mean_hour')} AS mean_hour FROM state_index LEFT JOIN covariates USING (subject_id)", extra=_COVARIATES)
 def jn7(ctx):
-    joined = ctx.index.join(subject_covariates(ctx.usable), "subject_id", "left")
+    joined = ctx.index.join(by_key(subject_covariates(ctx.usable)), "subject_id", "left")
     return joined.select("subject_id", r6("mean_state_index").alias("mean_state_index"), "batch", "clutch", r6("mean_hour").alias("mean_hour"))
 
 
 @query("jn8_index_export", ["state_index", "outcomes"],
        f"SELECT i.subject_id, {sql6('mean_state_index')} AS mean_state_index, i.n_sessions, o.arm FROM state_index i LEFT JOIN outcomes o USING (subject_id)")
 def jn8(ctx):
-    joined = ctx.index.join(ctx.outcomes.select("subject_id", "arm"), "subject_id", "left")
+    joined = ctx.index.join(by_key(ctx.outcomes.select("subject_id", "arm")), "subject_id", "left")
     return joined.select("subject_id", r6("mean_state_index").alias("mean_state_index"), "n_sessions", "arm")
 
 
@@ -568,7 +569,7 @@ def se2(ctx):
 
 @query("se3_train_difference", ["outcomes", "test"], "SELECT subject_id FROM outcomes EXCEPT SELECT subject_id FROM test")
 def se3(ctx):
-    return ctx.outcomes.select("subject_id").join(ctx.test.select("subject_id"), "subject_id", "left_anti")
+    return ctx.outcomes.select("subject_id").join(by_key(ctx.test.select("subject_id")), "subject_id", "left_anti")
 
 
 @query("se4_overlap", ["train", "test"], "SELECT count(*) AS n_overlap FROM (SELECT subject_id FROM train INTERSECT SELECT subject_id FROM test)")
