@@ -68,3 +68,21 @@ def test_keys_do_not_meet():
     nodes = np.arange(1 << 12)
     keys = np.concatenate([s.node_keys(level, nodes, draw) for level in range(8) for draw in range(4)])
     assert len(np.unique(s.mix64(s.iteration_keys(1, np.arange(20))[:, None] + keys))) == 20 * len(keys)
+
+
+def test_a_chunk_of_draws_has_bounded_memory():
+    """What a task holds at a time follows from CHUNK_CELLS, whatever the values of its range and the subjects."""
+    import tracemalloc
+
+    from driftpanel.operators import resample
+
+    for values, subjects in ((1 << 12, 1), (1 << 16, 1), (1 << 12, 10**6)):
+        counts = np.zeros((values, 2), np.int64)
+        counts[np.arange(values), np.arange(values) % 2] = subjects
+        part = np.arange(max(1, resample.CHUNK_CELLS // counts.size))
+        tracemalloc.start()
+        drawn = resample._weights("bootstrap", counts, counts.sum(0).tolist(), [], 0, (values - 1).bit_length(), 5, part)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (drawn.sum((1, 2)) == counts.sum()).all()
+        assert peak < 40 << 20, (values, subjects, peak)
