@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import uuid
 from collections import defaultdict
 
@@ -23,8 +24,21 @@ REMEMBERED = 350_000
 #: Words per line that goes to the library, and the control character that stands between them.
 LINE = 64
 MARK = "\x02"
+#: The last character of Latin-1: its letters are composed, and each lower-cases by itself to a letter of it.
+LATIN = "\xff"
 #: Marks that end a word of letters as a unit of their own.
 CLOSING = b".,;:!?"
+#: Normalizer and pre-tokenizer that leave a lower-case word of letters as it is and whole.
+LETTER_RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
 ROW_COLUMNS = "part int, doc_id long, first long, n int, ids array<int>"
 #: Writer options: stripes are what one reader task takes at least (their size is looked at every 200 rows),
 #: each 10,000 rows have an entry of the row index.
@@ -45,13 +59,15 @@ class WordIds:
     lists) must treat such words one by one: the vocabulary's normalizer and pre-tokenizer drop
     white space and look at nothing beyond it, and no special string contains any. New words go to
     the library ``LINE`` at a time, with a mark between them whose one id no other word here has.
+    Words of Latin letters go to ``letters`` if given (see ``letter_encoder``): without a mark, the ids in ``last`` end them.
     A full table keeps the words that were met again.
     """
 
-    def __init__(self, encode, remembered: int = REMEMBERED):
+    def __init__(self, encode, remembered: int = REMEMBERED, letters=None):
         import numpy as np
 
         self.encode, self.remembered = encode, remembered
+        self.letters, self.last = letters or (None, None)
         marks = next(iter(encode([MARK])))
         self.mark = marks[0] if len(marks) == 1 else None
         self.index = defaultdict(itertools.count().__next__)
@@ -77,21 +93,35 @@ class WordIds:
         import numpy as np
 
         texts = [w.decode("utf-8", "replace") for w in words]
-        alone = np.fromiter((self.mark is None or MARK in t for t in texts), bool, len(texts))
-        joined = [t for t, a in zip(texts, alone, strict=True) if not a]
+        kind = np.fromiter((self._kind(t) for t in texts), np.int8, len(texts))
+        length = np.zeros(len(texts), np.int64)
+        found = {}
+        if (kind == 2).any():
+            latin = [texts[i].lower() for i in np.flatnonzero(kind == 2).tolist()]
+            lines = [" ".join(latin[i : i + LINE]) for i in range(0, len(latin), LINE)]
+            found[2] = np.fromiter(itertools.chain.from_iterable(self.letters(lines)), np.int32)
+            length[kind == 2] = np.diff(np.r_[-1, np.flatnonzero(self.last[found[2]])])
+        joined = [texts[i] for i in np.flatnonzero(kind == 0).tolist()]
         lines = [f" {MARK} ".join(joined[i : i + LINE]) + f" {MARK}" for i in range(0, len(joined), LINE)]
         ids = np.fromiter(itertools.chain.from_iterable(self.encode(lines)), np.int32)
         ends = np.flatnonzero(ids == self.mark) if len(ids) else np.zeros(0, np.int64)
-        length = np.zeros(len(texts), np.int64)
-        length[~alone] = np.diff(np.r_[-1, ends]) - 1
-        parts = list(self.encode([t for t, a in zip(texts, alone, strict=True) if a]))
-        length[alone] = [len(p) for p in parts]
-        order = np.repeat(alone, length)
+        length[kind == 0] = np.diff(np.r_[-1, ends]) - 1
+        found[0] = ids[ids != self.mark] if len(ids) else ids
+        parts = list(self.encode([texts[i] for i in np.flatnonzero(kind == 1).tolist()]))
+        length[kind == 1] = [len(p) for p in parts]
+        found[1] = list(itertools.chain.from_iterable(parts))
+        order = np.repeat(kind, length)
         flat = np.empty(len(order), np.int32)
-        flat[~order] = ids[ids != self.mark] if len(ids) else ids
-        flat[order] = list(itertools.chain.from_iterable(parts))
+        for k, own in found.items():
+            flat[order == k] = own
         return flat, length
 
+    def _kind(self, text: str) -> int:
+        """2 if ``letters`` may take the word, 1 if it goes to the library alone, 0 in a line."""
+        if self.letters is not None and text.isalpha() and max(text) <= LATIN:
+            return 2
+        return int(self.mark is None or MARK in text)
+
     def _parts(self, word: bytes):
         """Numbers of the words that a word consists of: letters in lower case, then a closing mark; none if it is to be encoded itself.
 
@@ -159,6 +189,31 @@ class WordIds:
         return ids, np.diff(np.r_[0, total])
 
 
+def letter_encoder(tokenizer):
+    """The tokenizer's model for lower-case words of Latin letters: lines to id lists, and which ids end a word; None if it does not fit.
+
+    Where the pre-tokenizer keeps runs of letters whole and the normalizer composes and lower-cases, such a word is one unit and
+    unchanged, so a split at spaces gives the model the same units. The model's suffix tells which ids end a unit.
+    """
+    import numpy as np
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix or tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return None
+    rules = [json.loads(tokenizer.normalizer.__getstate__()), json.loads(tokenizer.pre_tokenizer.__getstate__())]
+    if rules != LETTER_RULES:
+        return None
+    plain = Tokenizer(tokenizer.model)
+    plain.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for unit, i in vocabulary.items() if unit.endswith(suffix)]] = True
+    return (lambda texts: (e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False))), last
+
+
 _TABLES: dict[str, WordIds] = {}
 
 
@@ -171,7 +226,8 @@ def word_ids_of(where: str) -> WordIds:
 
     if where not in _TABLES:
         tokenizer = Tokenizer.from_file(where)
-        _TABLES[where] = WordIds(lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+        encode = lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        _TABLES[where] = WordIds(encode, letters=letter_encoder(tokenizer))
     return _TABLES[where]
 
 

@@ -124,3 +124,26 @@ def test_a_full_word_table_changes_nothing(tokenizer):
         ids, n = small([t.encode() for t in texts], end_id=2)
         want = [[*e, 2] for e in encode(texts)]
         assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_words_of_latin_letters_equal_the_library(tokenizer):
+    """Words that go to the model without the pre-tokenizer, and others beside them; the encoder is in use for this vocabulary."""
+    latin = [c for c in map(chr, range(256)) if c.isalpha()]
+    signs = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    words = latin + [a + b for a in latin for b in latin[::7]] + [f"Th{a}on{s}" for a in latin[::9] for s in signs] + [f"Heat{s}{t}" for s in signs for t in signs]
+    words += ["Heat,", "\u00c9t\u00e9", "e\u0301t\u00e9", "it's", "IT'S", "d'été", "été's", "été", "naïvé", "straße", "İx", "ﬁn", "日本語", "Ǆx", "été***", "xʼy", "a1", "1a", "é1!", "<|endoftext|>"]
+    letters = token_store.letter_encoder(tokenizer)
+    assert letters is not None
+    asked = []
+
+    def plain(texts):
+        asked.extend(texts)
+        return letters[0](texts)
+
+    encode = lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+    ids, n = token_store.WordIds(encode, letters=(plain, letters[1]))([w.encode() for w in words])
+    expected = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert n.tolist() == [len(e) for e in expected]
+    assert ids.tolist() == [i for e in expected for i in e]
+    sent = set(" ".join(asked).split())
+    assert {"stra\u00dfe", "\u00e9t\u00e9", "heat"} <= sent and not any(c in w for w in sent for c in signs)
