@@ -19,15 +19,16 @@ END_ID = 2
 #: Text bytes per file; a file is what one task sorts, encodes and writes.
 FILE_BYTES = 32 << 20
 #: Bytes of text that are encoded together, and words that a Python worker remembers.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 4 << 20
 REMEMBERED = 350_000
 #: Words per line that goes to the library, and the control character that stands between them.
 LINE = 64
 MARK = "\x02"
-#: The last character of Latin-1: its letters are composed, and each lower-cases by itself to a letter of it.
-LATIN = "\xff"
-#: Marks that end a word of letters as a unit of their own.
-CLOSING = b".,;:!?"
+#: Letters of ASCII and of Latin-1 from U+00C0, all composed; each lower-cases by itself to a letter of it. No other
+#: character there has the second byte of a letter, so in valid UTF-8 the letters' bytes make up letters only.
+LETTERS = "".join(c for c in map(chr, [*range(128), *range(0xC0, 0x100)]) if c.isalpha())
+#: Signs of ASCII that never join letters before them; an apostrophe does (``'s``).
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Normalizer and pre-tokenizer that leave a lower-case word of letters as it is and whole.
 LETTER_RULES = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -59,8 +60,8 @@ class WordIds:
     lists) must treat such words one by one: the vocabulary's normalizer and pre-tokenizer drop
     white space and look at nothing beyond it, and no special string contains any. New words go to
     the library ``LINE`` at a time, with a mark between them whose one id no other word here has.
-    Words of Latin letters go to ``letters`` if given (see ``letter_encoder``): without a mark, the ids in ``last`` end them.
-    A full table keeps the words that were met again.
+    With ``letters`` (see ``letter_encoder``), words of ``LETTERS`` go there without a mark, the ids in ``last`` end them,
+    and words that such letters begin and ``SIGNS`` end are looked up as two. A full table keeps the words that were met again.
     """
 
     def __init__(self, encode, remembered: int = REMEMBERED, letters=None):
@@ -83,31 +84,38 @@ class WordIds:
             kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.remembered // 2])
         words = list(self.index)
         self.index = defaultdict(itertools.count(len(kept)).__next__, {words[k]: i for i, k in enumerate(kept.tolist())})
-        start, self.length = self.start[kept], self.length[kept]
+        self.flat = _gathered(self.flat, self.start[kept], self.length[kept])
+        self.length = self.length[kept]
         self.start = np.cumsum(self.length) - self.length
-        self.flat = self.flat[np.repeat(start - self.start, self.length) + np.arange(int(self.length.sum()))]
         self.uses = np.zeros(len(kept), np.int64)
 
-    def _encoded(self, words: list[bytes]):
+    def _encoded(self, words, valid: bool):
         """Ids of all words in a row, and the number of each."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        texts = [w.decode("utf-8", "replace") for w in words]
-        kind = np.fromiter((self._kind(t) for t in texts), np.int8, len(texts))
-        length = np.zeros(len(texts), np.int64)
+        kind = np.zeros(len(words), np.int8)
+        length = np.zeros(len(words), np.int64)
         found = {}
+        if valid and self.letters is not None:
+            plain = pc.and_(pc.equal(pc.binary_length(pc.ascii_ltrim(words, LETTERS)), 0), pc.greater(pc.binary_length(words), 0))
+            kind[plain.to_numpy(zero_copy_only=False)] = 2
         if (kind == 2).any():
-            latin = [texts[i].lower() for i in np.flatnonzero(kind == 2).tolist()]
-            lines = [" ".join(latin[i : i + LINE]) for i in range(0, len(latin), LINE)]
+            latin = words.filter(pa.array(kind == 2))
+            lines = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(0, len(latin), LINE), len(latin)].astype(np.int32)), latin)
+            lines = [line.lower() for line in pc.binary_join(lines, " ").to_pylist()]
             found[2] = np.fromiter(itertools.chain.from_iterable(self.letters(lines)), np.int32)
             length[kind == 2] = np.diff(np.r_[-1, np.flatnonzero(self.last[found[2]])])
-        joined = [texts[i] for i in np.flatnonzero(kind == 0).tolist()]
+        rest = [w.decode("utf-8", "replace") for w in _bytes(words.filter(pa.array(kind == 0)))]
+        kind[kind == 0] = [self.mark is None or MARK in t for t in rest]
+        joined = [t for t in rest if self.mark is not None and MARK not in t]
         lines = [f" {MARK} ".join(joined[i : i + LINE]) + f" {MARK}" for i in range(0, len(joined), LINE)]
         ids = np.fromiter(itertools.chain.from_iterable(self.encode(lines)), np.int32)
         ends = np.flatnonzero(ids == self.mark) if len(ids) else np.zeros(0, np.int64)
         length[kind == 0] = np.diff(np.r_[-1, ends]) - 1
         found[0] = ids[ids != self.mark] if len(ids) else ids
-        parts = list(self.encode([texts[i] for i in np.flatnonzero(kind == 1).tolist()]))
+        parts = list(self.encode([t for t in rest if self.mark is None or MARK in t]))
         length[kind == 1] = [len(p) for p in parts]
         found[1] = list(itertools.chain.from_iterable(parts))
         order = np.repeat(kind, length)
@@ -116,77 +124,86 @@ class WordIds:
             flat[order == k] = own
         return flat, length
 
-    def _kind(self, text: str) -> int:
-        """2 if ``letters`` may take the word, 1 if it goes to the library alone, 0 in a line."""
-        if self.letters is not None and text.isalpha() and max(text) <= LATIN:
-            return 2
-        return int(self.mark is None or MARK in text)
-
-    def _parts(self, word: bytes):
-        """Numbers of the words that a word consists of: letters in lower case, then a closing mark; none if it is to be encoded itself.
+    def _parts(self, words, valid: bool):
+        """A row of words, or two of equal length: letters, ASCII ones in lower case, and the signs behind them. Words of another form stand in the first.
 
         The vocabulary's normalizer lower-cases letter by letter, and its pre-tokenizer ends a unit where
         letters end, so the ids are those of the parts one after the other.
         """
-        if word.isalpha():
-            lower = word.lower()
-            return (self.index[lower],) if lower != word else None
-        if word[:-1].isalpha() and word[-1] in CLOSING:
-            return self.index[word[:-1].lower()], self.index[word[-1:]]
-        return None
+        import pyarrow.compute as pc
 
-    def _learn(self) -> None:
+        if not valid or self.letters is None:
+            return [words]
+        head, tail = pc.ascii_rtrim(words, SIGNS), pc.ascii_ltrim(words, LETTERS)
+        whole = pc.equal(pc.add(pc.binary_length(head), pc.binary_length(tail)), pc.binary_length(words))
+        return [pc.if_else(whole, pc.ascii_lower(head), words), pc.if_else(whole, tail, "")]
+
+    def _numbers(self, words, valid: bool):
+        """The table's numbers of distinct words; new ones are encoded."""
         import numpy as np
 
         known = len(self.length)
-        if len(self.index) == known:
-            return
-        words = list(itertools.islice(self.index, known, None))
-        parts = [self._parts(w) for w in words]
-        more = list(itertools.islice(self.index, known + len(words), None))
-        whole = np.fromiter((p is None for p in parts), bool, len(parts))
-        encoded = [w for w, p in zip(words, parts, strict=True) if p is None] + more
-        flat, length = self._encoded(encoded)
-        places = np.r_[known + np.flatnonzero(whole), np.arange(known + len(words), known + len(words) + len(more))]
-        grown = [np.r_[x, np.zeros(len(words) + len(more), np.int64)] for x in (self.start, self.length, self.uses)]
-        self.start, self.length, self.uses = grown
-        self.start[places], self.length[places] = len(self.flat) + np.cumsum(length) - length, length
-        self.flat = np.r_[self.flat, flat]
-        # words of parts: a part's ids, and those of a closing mark behind them
-        pair = np.array([(p[0], p[-1] if len(p) > 1 else -1) for p in parts if p is not None], np.int64).reshape(-1, 2)
-        made = known + np.flatnonzero(~whole)
-        alone = pair[:, 1] < 0
-        self.start[made[alone]], self.length[made[alone]] = self.start[pair[alone, 0]], self.length[pair[alone, 0]]
-        made, pair = made[~alone], pair[~alone].reshape(-1)
-        sizes = self.length[pair]
-        ends = np.cumsum(sizes)
-        joined = self.flat[np.repeat(self.start[pair] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        both = sizes.reshape(-1, 2).sum(1)
-        self.start[made], self.length[made] = len(self.flat) + np.cumsum(both) - both, both
-        self.flat = np.r_[self.flat, joined]
-
-    def __call__(self, texts: list[bytes], end_id: int | None = None):
-        """Ids of all texts in a row, and the number of each text; ``end_id`` follows every text."""
+        numbers = np.fromiter(map(self.index.__getitem__, _bytes(words)), np.int64, len(words))
+        if len(self.index) > known:
+            flat, length = self._encoded(words.filter(numbers >= known), valid)
+            self.start = np.r_[self.start, len(self.flat) + np.cumsum(length) - length]
+            self.length, self.flat = np.r_[self.length, length], np.r_[self.flat, flat]
+            self.uses = np.r_[self.uses, np.zeros(len(length), np.int64)]
+        return numbers
+
+    def __call__(self, texts, end_id: int | None = None):
+        """Ids of all texts (a list of bytes or an Arrow array of strings without nulls) in a row, and the number of each text; ``end_id`` follows every text."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         if len(self.length) > self.remembered:
             self._forget()
-        words = [t.split() for t in texts]
-        n_words = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n_words.sum()))
-        self._learn()
-        self.uses += np.bincount(at, minlength=len(self.uses))
-        start, length, flat = self.start, self.length, self.flat
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.binary()).view(pa.string())
+        try:
+            texts.validate(full=True)
+            valid = True
+        except pa.ArrowInvalid:
+            valid = False
+        # text by text to words, distinct words, parts, distinct parts
+        lists = pc.ascii_split_whitespace(texts)
+        n_words = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        at = words.indices.to_numpy().astype(np.int64)
+        parts = self._parts(words.dictionary, valid)
+        keys = pa.concat_arrays(parts).dictionary_encode()
+        pairs = self._numbers(keys.dictionary, valid)[keys.indices.to_numpy()].reshape(len(parts), -1)
+        often = np.bincount(at, minlength=len(words.dictionary))
+        for own in pairs:
+            self.uses += np.bincount(own, weights=often, minlength=len(self.uses)).astype(np.int64)
+        # back to words and to texts
+        pairs = pairs.T.ravel()
+        flat = _gathered(self.flat, self.start[pairs], self.length[pairs])
+        length = self.length[pairs].reshape(-1, len(parts)).sum(1)
+        start = np.cumsum(length) - length
         if end_id is not None:
             end = len(length)
             start, length, flat = np.r_[start, len(flat)], np.r_[length, 1], np.r_[flat, np.int32(end_id)]
             at = np.insert(at, np.cumsum(n_words), end)
             n_words = n_words + 1
         sizes = length[at]
-        ends = np.cumsum(sizes)
-        ids = flat[np.repeat(start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        total = np.r_[0, ends][np.cumsum(n_words)] if len(n_words) else np.zeros(0, np.int64)
-        return ids, np.diff(np.r_[0, total])
+        total = np.r_[0, np.cumsum(sizes)][np.cumsum(n_words)] if len(n_words) else np.zeros(0, np.int64)
+        return _gathered(flat, start[at], sizes), np.diff(np.r_[0, total])
+
+
+def _gathered(flat, start, length):
+    """Runs of ``flat`` one after the other."""
+    import numpy as np
+
+    ends = np.cumsum(length)
+    return flat[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _bytes(words) -> list[bytes]:
+    import pyarrow as pa
+
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 def letter_encoder(tokenizer):
@@ -237,19 +254,18 @@ def _encoder(where: str, end_id: int, group_bytes: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         word_ids = word_ids_of(where)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = pc.fill_null(batch.column(1), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
             at = 0
             while at < len(texts):
-                group, size = [], 0
-                while at + len(group) < len(texts) and size < group_bytes:
-                    group.append(texts[at + len(group)].as_py() or b"")
-                    size += len(group[-1])
-                ids, n = word_ids(group, end_id)
+                stop = int(np.searchsorted(ends, group_bytes + (ends[at - 1] if at else 0))) + 1
+                ids, n = word_ids(texts.slice(at, stop - at), end_id)
                 offsets = np.r_[0, np.cumsum(n)]
                 columns = [
                     pa.array(np.full(len(n), part, np.int32)),
@@ -260,7 +276,7 @@ def _encoder(where: str, end_id: int, group_bytes: int):
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "first", "n", "ids"])
                 before += int(offsets[-1])
-                at += len(group)
+                at += len(n)
 
     return run
 

@@ -147,3 +147,50 @@ def test_words_of_latin_letters_equal_the_library(tokenizer):
     assert ids.tolist() == [i for e in expected for i in e]
     sent = set(" ".join(asked).split())
     assert {"stra\u00dfe", "\u00e9t\u00e9", "heat"} <= sent and not any(c in w for w in sent for c in signs)
+
+
+def test_words_are_encoded_once_whatever_case_and_signs(tokenizer):
+    """Capitals and signs behind letters make no new word for the library; look-alikes stay whole."""
+    signs = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    words = [stem + end for stem in ("heat", "Heat", "HEAT", "été") for end in ("", ",", "###", ".&&&", ",%%%", "!!")]
+    odd = [f"{a}{s}{t}" for a in ("été", "a×", "×", "÷", "ª", "1", "é", "日本", "") for s in signs for t in ["", *signs[::5]]]
+    odd += ["a×b.", "heat<|endoftext|>", "<|endoftext|>###", "été'S", "IT'S!", "''s", "x_y_", "_x", "###heat", "Ã###", "ßÿ..", "İ..", "ﬁ!!"]
+    letters = token_store.letter_encoder(tokenizer)
+    asked = []
+
+    def noted(take):
+        def run(texts):
+            asked.extend(w for t in texts for w in t.split(" ") if w not in ("", token_store.MARK))
+            return take(texts)
+
+        return run
+
+    encode = noted(lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+    known = token_store.WordIds(encode, letters=(noted(letters[0]), letters[1]))
+    expected = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    for some in (words, words[::-1]):
+        ids, n = known([" ".join(some).encode(), b""])
+        wanted = expected if some is words else expected[::-1]
+        assert n.tolist() == [sum(map(len, wanted)), 0] and ids.tolist() == sum(wanted, [])
+    assert sorted(asked) == sorted(["heat", "été", ",", "###", ".&&&", ",%%%", "!!"])
+    ids, n = known([w.encode() for w in odd])
+    expected = [tokenizer.encode(w, add_special_tokens=False).ids for w in odd]
+    assert n.tolist() == [len(e) for e in expected] and ids.tolist() == sum(expected, [])
+
+
+def test_bytes_that_are_no_utf8_count_as_replacements(tokenizer):
+    words = [b"heat\xc3.", b"\xc3", b"a\xc3\xc3b##", b"\x97,", b"ok,", b"\xc3\x97.", b"Heat"]
+    encode = lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+    known = token_store.WordIds(encode, letters=token_store.letter_encoder(tokenizer))
+    for texts in ([b"Heat, heat."], [b" ".join(words), b"Heat,"], [b"Heat, heat."]):
+        ids, n = known(texts)
+        expected = [tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(e) for e in expected] and ids.tolist() == sum(expected, [])
+
+
+def test_a_vocabulary_with_capitals_gets_words_as_they_are():
+    """Without the letters' encoder nothing is lower-cased or taken apart."""
+    encode = lambda texts: ([ord(c) for c in t if not c.isspace()] for t in texts)
+    ids, n = token_store.WordIds(encode)([b"Heat, HEAT", b" x", b""], end_id=0)
+    assert n.tolist() == [10, 2, 1]
+    assert ids.tolist() == [*map(ord, "Heat,HEAT"), 0, ord("x"), 0, 0]
